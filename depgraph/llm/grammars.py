@@ -69,8 +69,8 @@ PatItem = '**' NAME | ( [ '-' ] NUM | STR { STR } | 'None' | 'True' | 'False' |
 
 C = r"""
 File = { External } EOF ;
-Frag = { External | Stmt | '}' } EOF ;
-External = Specs Decl Block | Declaration | ';' | Asm ';' | MACRO [ '(' [ Args ] ')' ] [ ';' ] | StaticAssert ;
+Frag = { External | Stmt } EOF ;
+External = Specs Decl FuncBody | Declaration | ';' | Asm ';' | MACRO [ '(' [ Args ] ')' ] [ ';' ] | StaticAssert ;
 StaticAssert = ( '_Static_assert' | 'static_assert' ) '(' Cond [ ',' STR ] ')' ';' ;
 Asm = ASM { 'volatile' | 'goto' | 'inline' } '(' { STR | ':' | ',' | '(' Expr ')' | '[' NAME ']' | NAME } ')' ;
 Declaration = Specs [ InitDecl { ',' InitDecl } ] ';' ;
@@ -92,7 +92,8 @@ ParamList = Param { ',' Param } [ ',' '...' ] | '...' ;
 Param = Specs [ Decl | Abstract ] ;
 Init = Cond | '{' [ InitItem { ',' InitItem } [ ',' ] ] '}' ;
 InitItem = [ ( '.' NAME | '[' Cond [ '...' Cond ] ']' ) { '.' NAME | '[' Cond ']' } '=' ] Init ;
-Block = '{'@b { Stmt | Declaration | StaticAssert } '}' ;
+Block = '{' { Stmt | Declaration | StaticAssert } '}' ;
+FuncBody = '{'@b { Stmt | Declaration | StaticAssert } '}' ;
 Stmt = Block | 'if' '(' Expr ')' Stmt [ 'else' Stmt ] | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';'
   | 'for' '(' ( Declaration | [ Expr ] ';' ) [ Expr ] ';' [ Expr ] ')' Stmt | 'switch' '(' Expr ')' Stmt
   | 'return' [ Expr | '{' '}' ] ';' | 'break' ';' | 'continue' ';' | 'goto' ( NAME | '*' Expr ) ';'
@@ -110,7 +111,7 @@ Primary = NAME | NUM | CHAR | STR { STR | MACRO } | MACRO STR { STR | MACRO } |
 
 JAVA = r"""
 File = [ { Annotation } 'package' Qualified ';' ] { Import | ';' } { TypeDecl | Member | ';' } EOF | { Annotation } [ 'open' ] 'module' Qualified '{' { WORD { WORD | '.' | ',' } ';' } '}' EOF ;
-Frag = { Import | 'package' Qualified ';' | TypeDecl | Member | Stmt | '}' } EOF ;
+Frag = { Import | 'package' Qualified ';' | TypeDecl | Member | Stmt } EOF ;
 Import = 'import' [ 'static' ] Qualified [ '.' '*' ] ';' | 'import' 'module' Qualified ';' ;
 Qualified = NAME { '.' NAME } ;
 Annotation = '@' Qualified [ '(' [ AnnValue { ',' AnnValue } [ ',' ] ] ')' ] ;
@@ -168,10 +169,11 @@ Args = Assign { ',' Assign } ;
 
 GO = r"""
 File = 'package' NAME Semi { 'import' ( ImportSpec | '(' { ImportSpec Semi } [ ImportSpec ] ')' ) Semi } { TopDecl Semi } EOF ;
-Frag = { TopDecl Semi | Stmt Semi | Semi | '}' | 'package' NAME Semi | 'import' ( ImportSpec | '(' { ImportSpec Semi } [ ImportSpec ] ')' ) Semi } EOF ;
+Frag = { TopDecl Semi | Stmt Semi | Semi | 'package' NAME Semi | 'import' ( ImportSpec | '(' { ImportSpec Semi } [ ImportSpec ] ')' ) Semi } EOF ;
 Semi = ';' ;
 ImportSpec = [ NAME | '.' ] STR ;
-TopDecl = Decl | 'func' [ '(' [ Params ] ')' ] NAME@d [ TypeParams ] Signature [ Block ] ;
+TopDecl = Decl | 'func' [ '(' [ Params ] ')' ] NAME@d [ TypeParams ] Signature [ FuncBody ] ;
+FuncBody = '{'@b Stmts '}' ;
 Decl = 'const' ( ConstSpec | '(' { ConstSpec Semi } [ ConstSpec ] ')' ) | 'var' ( VarSpec | '(' { VarSpec Semi } [ VarSpec ] ')' ) | 'type' ( TypeSpec | '(' { TypeSpec Semi } [ TypeSpec ] ')' ) ;
 ConstSpec = Names [ [ Type ] '=' Exprs ] ;
 VarSpec = Names ( Type [ '=' Exprs ] | '=' Exprs ) ;
@@ -187,7 +189,7 @@ Type = NAME [ '.' NAME ] [ '[' Type { ',' Type } [ ',' ] ']' ] | '*' Type | '('
   | 'chan' [ '<-' ] Type | '<-' 'chan' Type | 'func' Signature | 'struct' '{' { Field Semi } [ Field ] '}' | 'interface' '{' { IfaceElem Semi } [ IfaceElem ] '}' ;
 Field = ( Names Type | [ '*' ] NAME [ '.' NAME ] [ '[' Type { ',' Type } ']' ] ) [ STR ] ;
 IfaceElem = NAME Signature | Constraint ;
-Block = '{'@b Stmts '}' ;
+Block = '{' Stmts '}' ;
 Stmts = { [ Stmt ] Semi } [ Stmt ] ;
 Stmt = Decl | NAME ':' [ Stmt ] | Simple | 'go' Expr | 'defer' Expr | 'return' [ Exprs ] | 'break' [ NAME ] | 'continue' [ NAME ] | 'goto' NAME | 'fallthrough' | Block | If
   | 'switch' ( [ [ SimpleN ] ';' ] [ ExprN ] | [ [ SimpleN ] ';' ] [ NAME ':=' ] PrimaryN '.' '(' 'type' ')' ) '{' { ( 'case' Cases | 'default' ) ':' Stmts } '}'
@@ -218,7 +220,7 @@ OperandN = Lit | NAME | '(' ( Expr | Type ) ')' | 'func' Signature Block | TypeL
 
 PHP = r"""
 File = [ INLINE ] { Top } EOF ;
-Frag = [ INLINE ] { Top | Member | '}' } EOF ;
+Frag = [ INLINE ] { Top | Member } EOF ;
 Semi = ';' | INLINE ;
 Top = Stmt | 'namespace' ( [ Name ] '{' { Top } '}' | Name Semi ) | 'use' [ 'function' | 'const' ] UseItem { ',' UseItem } [ ',' ] Semi | '__halt_compiler' '(' ')' Semi ;
 UseItem = Name [ 'as' NAME ] | Name '\' '{' GroupItem { ',' GroupItem } [ ',' ] '}' ;
@@ -269,10 +271,9 @@ Item = [ Expr '=>' ] [ '&' ] Expr | '...' Expr ;
 
 RUBY = r"""
 File = Body EOF ;
-Frag = { Stmts | 'end' | '}' } EOF ;
+Frag = { Term } { ( Stmt | 'end' ) ( Term { Term } | EOF ) } [ EOF ] ;
 Term = ';' | NL ;
 Body = { Term } [ Stmt { Term { Term } Stmt } { Term } ] ;
-Stmts = { Term } Stmt Term ;
 Stmt = Head { ( 'if' | 'unless' | 'while' | 'until' | 'rescue' ) Cond } ;
 Head = Cond | 'alias' Sym Sym | 'undef' Sym { ',' Sym } | ( 'BEGIN' | 'END' ) '{' Body '}' | Targets '=' ( Rhs | CmdCall ) ;
 Sym = SYM | WORD | OPNAME | GVAR ;
@@ -386,7 +387,7 @@ Spec = %TYPEKW ( WORD | STR ) [ 'as' ( WORD | STR ) ] ;
 Export = 'export' ( %TYPEKW ( '*' [ 'as' ( WORD | STR ) ] 'from' STR [ 'with' Object ] Semi | Named [ 'from' STR [ 'with' Object ] ] Semi ) | 'default' ( Function | Decorators Class | StmtDefault Semi %DEFAULT ) | Declared ) ;
 StmtDefault = Array | Assign ;
 Declared = Function | Decorators Class | ( 'var' | 'let' ) Binding { ',' Binding } Semi | 'const' ConstBinding { ',' ConstBinding } Semi %STMT ;
-Frag = { Stmt | Import | Export | Member | '}' } EOF ;
+Frag = { Stmt | Import | Export | Member } EOF ;
 """
 
 _JSX = r"""

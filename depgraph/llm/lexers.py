@@ -71,13 +71,26 @@ class Language:
         return self.post(self, ids) if self.post else ids
 
     def placed(self, text):
-        """(terminal id, start, end) of each token, for finding declarations."""
-        out, table = [], self.table
-        for m in (self.heredoc or self.pattern).finditer(text):
-            s, e = m.span(1)
-            if e > s:
-                out.append((table[m[1]], s, e))
-        return out
+        """(terminal id, start, end) of each token, for finding declarations; inserted ones have no width."""
+        table, regex = self.table, self.grammar.ids.get("REGEX")
+        if self.heredoc and "<<" in text:
+            out = []
+            for m in self.heredoc.finditer(text):
+                s, e = m.span(1)
+                rest = m.groupdict().get("rest")
+                out.append((table[m[1]], s, e if rest is None else m.start("rest")))
+                if rest is not None:
+                    out += [(t, m.start("rest") + a, m.start("rest") + b) for t, a, b in self.placed(rest)] if rest else []
+                    out.append((table["\n"], e, e))
+        else:
+            out = [(table[m[1]], *m.span(1)) for m in self.pattern.finditer(text)]
+        if regex is not None:  # white space may lead a regular expression
+            out = [(t, e - len(text[s:e].lstrip()), e) if t == regex else (t, s, e) for t, s, e in out]
+        while out and out[-1][0] == self.eof:
+            out.pop()
+        return self.place(out, text) if self.place else out
+
+    place = None
 
     def valid(self, text):
         """Whether some dialect accepts the whole text."""
@@ -101,9 +114,12 @@ def _ops(*ops):
     return "|".join(map(re.escape, sorted(ops, key=len, reverse=True)))
 
 
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
-_DQ, _SQ = r'"(?:[^"\\\r\n]|\\(?:\r\n|[\s\S]))*+"', r"'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*+'"
+_BLOCK = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+_COMMENT = rf"//[^\n]*+|{_BLOCK}"
+_DQ, _SQ = r'"[^"\\\r\n]*+(?:\\(?:\r\n|[\s\S])[^"\\\r\n]*+)*+"', r"'[^'\\\r\n]*+(?:\\(?:\r\n|[\s\S])[^'\\\r\n]*+)*+'"
 _IDENT = r"[^\W\d]\w*"
+#: The commonest tokens, tried first: plain words that don't begin something longer, and single marks.
+_FAST = r"[A-Za-z_]\w*+(?![\"'`$])|[;,(){}\[\]]"
 _NAME = r"[^\W\d]\w*"
 
 
@@ -112,8 +128,12 @@ _NAME = r"[^\W\d]\w*"
 _PY_RESERVED = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 
 
-def _python_indent(lang, spelled):
-    """Newline tokens become NEWLINE, INDENT and DEDENT, by the rules for tabs that the language has."""
+def _python_indent(lang, spelled, where=None):
+    """Newline tokens become NEWLINE, INDENT and DEDENT, by the rules for tabs that the language has.
+
+    where: gets, for each token returned, the index of its spelling; then a line that starts a declaration
+    also ends what brackets are open (an error that only the search for declarations goes beyond).
+    """
     g, table = lang.grammar, lang.table
     newline, indent, dedent, bad = (g.ids[x] for x in ("NEWLINE", "INDENT", "DEDENT", "BAD"))
     out, depth, stack = [], 0, [(0, 0)]
@@ -121,15 +141,18 @@ def _python_indent(lang, spelled):
     last = len(spelled) - 1
     for i, s in enumerate(spelled):
         if s and s[0] in "\r\n":
-            if depth:
+            if depth and not (where is not None and i < last and spelled[i + 1] in ("def", "class", "@")):
                 continue
+            depth = 0
             if out and out[-1] != newline and out[-1] != dedent:
                 out.append(newline)
             if i + 1 >= last and (i == last or not spelled[last]):
                 break
-            w = re.split(r"[\r\n]", s)[-1]
-            a = b = 0
-            for ch in w:
+            w = s[max(s.rfind("\n"), s.rfind("\r")) + 1 :]
+            a = b = len(w)
+            if "\t" in w or "\f" in w:
+                a = b = 0
+            for ch in w if not (a or b) else "":
                 if ch == "\t":
                     a, b = (a // 8 + 1) * 8, b + 1
                 elif ch == "\f":
@@ -152,6 +175,8 @@ def _python_indent(lang, spelled):
         if t < n_bracket:
             depth += 1 if t < n_open else -1
             depth = max(depth, 0)
+        if where is not None:
+            where += [i - 1] * (len(out) - len(where)) + [i]
         out.append(t)
     while out and out[-1] == lang.eof:
         out.pop()
@@ -161,6 +186,14 @@ def _python_indent(lang, spelled):
 
 
 class _Python(Language):
+    def placed(self, text):
+        found = [(m.span(1), m[1]) for m in self.pattern.finditer("\n" + text)]
+        where: list[int] = []
+        ids = _python_indent(self, [t for _, t in found], where)
+        where += [len(found) - 1] * (len(ids) - len(where))
+        inserted = {self.grammar.ids[x] for x in ("NEWLINE", "INDENT", "DEDENT")}
+        return [(t, found[i][0][1] - 1, found[i][0][1] - 1) if t in inserted else (t, found[i][0][0] - 1, found[i][0][1] - 1) for t, i in zip(ids, where)]
+
     def tokens(self, text):
         return _python_indent(self, self.spellings("\n" + text))  # so that the first line's indentation is seen
 
@@ -172,11 +205,11 @@ def python():
     p = r"(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?"
     fs = r"(?:[fFtT][rR]?|[rR][fFtT])"
     inner = r"\{(?:[^{}\r\n]|\{[^{}\r\n]*\})*\}"
-    string = rf"{fs}\"(?!\"\")(?:[^\"\\{{}}\r\n]|\\[\s\S]|\{{\{{|\}}\}}|{inner})*+\"|{fs}'(?!'')(?:[^'\\{{}}\r\n]|\\[\s\S]|\{{\{{|\}}\}}|{inner})*+'|{p}(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|(?!'''|\"\"\"){_DQ}|(?!'''|\"\"\"){_SQ})"
+    string = rf"{fs}\"(?!\"\")(?:[^\"\\{{}}\r\n]|\\[\s\S]|\{{\{{|\}}\}}|{inner})*+\"|{fs}'(?!'')(?:[^'\\{{}}\r\n]|\\[\s\S]|\{{\{{|\}}\}}|{inner})*+'|{p}(?:'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''|\"\"\"[^\"\\]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*+)*+\"\"\"|(?!'''|\"\"\"){_DQ}|(?!'''|\"\"\"){_SQ})"
     num = r"(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![^\W_]|_)"
     nl = r"(?:[ \t\f]*+(?:#[^\r\n]*+)?+(?:\r\n?|\n))++[ \t\f]*+"
     ops = _ops("**=", "//=", ">>=", "<<=", "...", "!=", "->", ":=", "**", "//", "<<", ">>", "<=", ">=", "==", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "@=")
-    pattern = rf"(?:[ \t\f]+|\\(?:\r\n?|\n)|#[^\r\n]*)*+({nl}|{string}|{num}|{_IDENT}|{ops}|[\s\S]|\Z)"
+    pattern = rf"(?:[ \t\f]+|\\(?:\r\n?|\n)|#[^\r\n]*)*+({_FAST}|{nl}|{string}|{num}|{_IDENT}|{ops}|[\s\S]|\Z)"
     return _Python("python", g, pattern, {
         "STR": string, "NUM": r"(?!0[0_]*[1-9][\d_]*$)" + num, "NAME": _NAME,
         "AUG": classes["AUG"], "BINOP": classes["BINOP"],
@@ -235,7 +268,7 @@ def c():
     g.classes["NAME"].add(g.ids["MACRO"])
     g._compile()
     directive = r"^[ \t]*#[ \t]*(?:(?:include|include_next|define|undef|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|embed|import|ident|\d+)\b(?:[^\n\\]|\\\r?\n|\\)*|\r?$)"
-    pattern = rf"(?m)(?:{directive}|\s|{_COMMENT}|\\\r?\n)*+((?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?{_SQ}|\.?\d(?:[eEpP][+-]|[\w.]|'\w)*|{_IDENT}|/\*|{_ops('...', '<<=', '>>=', '->', '++', '--', '<<', '>>', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '::')}|[\s\S]|\Z)"
+    pattern = rf"(?m)(?:{directive}|\n|[^\S\n]+|{_COMMENT}|\\\r?\n)*+({_FAST}|(?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?{_SQ}|\.?\d(?:[eEpP][+-]|[\w.]|'\w)*|{_IDENT}|/\*|{_ops('...', '<<=', '>>=', '->', '++', '--', '<<', '>>', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '::')}|[\s\S]|\Z)"
     return _C("c", g, pattern, classes, _C_RESERVED, retry=_c_branches)
 
 
@@ -252,7 +285,7 @@ def java():
     g = Grammar(text, {"file": "File"}, classes, soft=("open", "module", "record", "permits", "yield", "when", "non", "sealed"))
     g.classes["NAME"] |= {g.ids["record"]}
     g._compile()
-    pattern = rf"(?:\s|{_COMMENT})*+(\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|{_DQ}|{_SQ}|\.?\d(?:(?<=[eE])[+-](?=\d)(?<!0x\de[+-])|[\w.])*|[^\W\d][\w$]*|\$[\w$]*|/\*|{_ops('...', '->', '::', '++', '--', '<<', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '<<=', '>>=', '>>>=')}|[\s\S]|\Z)"
+    pattern = rf"(?:\s+|{_COMMENT})*+({_FAST}|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|{_DQ}|{_SQ}|\.?\d(?:(?<=[eE])[+-](?=\d)(?<!0x\de[+-])|[\w.])*|[^\W\d][\w$]*|\$[\w$]*|/\*|{_ops('...', '->', '::', '++', '--', '<<', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '<<=', '>>=', '>>>=')}|[\s\S]|\Z)"
     return Language("java", g, pattern, classes, _JAVA_RESERVED)
 
 
@@ -271,14 +304,22 @@ def _go_semicolons(lang, ids):
     return out
 
 
+class _Go(Language):
+    def place(self, out, text):
+        g = self.grammar
+        nl, semi = g.ids["NL"], g.ids[";"]
+        ends = {g.ids[x] for x in ("NAME", "NUM", "STR", "CHAR", "INCDEC", "break", "continue", "fallthrough", "return", ")", "]", "}")}
+        return [(semi, y[1], y[1]) if y[0] == nl else y for x, y in zip([(nl, 0, 0), *out], out) if y[0] != nl or x[0] in ends]
+
+
 @cache
 def go():
     esc = r"\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8})"
     classes = {"STR": rf"`[^`]*`|\"(?:[^\"\\\r\n]|{esc})*\"", "CHAR": rf"'(?:[^'\\\r\n]|{esc})'", "NUM": r"(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?", "NL": r"\n", "NAME": _NAME, "INCDEC": ["++", "--"], "ASSIGN": "+= -= *= /= %= &= |= ^= <<= >>= &^=".split(), "PREFIX": "! ^ &".split(), "BINOP": "/ % < > <= >= == != && || << >> &^".split()}
     text = grammars.GO.replace("( BINOP | '*'", "( BINOP | '&' | '^' | '*'").replace("{ PREFIX | '*'", "{ PREFIX | '&' | '^' | '*'")
     g = Grammar(text, {"file": "File"}, classes, soft=())
-    pattern = rf"(?:[^\S\n]|//[^\n]*|/\*(?:(?!\*/)[^\n])*\*/)*+(\n(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/)*+|/\*[\s\S]*?\*/|`[^`]*`|{_DQ}|{_SQ}|\.?\d(?:[eEpP][+-]|[\w.])*|{_IDENT}|{_ops('...', ':=', '<-', '&^=', '&^', '++', '--', '<<=', '>>=', '<<', '>>', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=')}|[\s\S]|\Z)"
-    lang = Language("go", g, pattern, classes | {"NL": r"\n(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/)*|/\*[\s\S]*\n[\s\S]*\*/"}, _GO_RESERVED, post=_go_semicolons)
+    pattern = rf"(?:[^\S\n]+|//[^\n]*|/\*[^*\n]*+(?:\*(?!/)[^*\n]*+)*+\*/)*+({_FAST}|\n(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/)*+|/\*[\s\S]*?\*/|`[^`]*`|{_DQ}|{_SQ}|\.?\d(?:[eEpP][+-]|[\w.])*|{_IDENT}|{_ops('...', ':=', '<-', '&^=', '&^', '++', '--', '<<=', '>>=', '<<', '>>', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=')}|[\s\S]|\Z)"
+    lang = _Go("go", g, pattern, classes | {"NL": r"\n(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/)*|/\*[\s\S]*\n[\s\S]*\*/"}, _GO_RESERVED, post=_go_semicolons)
     return lang
 
 
@@ -300,10 +341,10 @@ class _Php(Language):
 
 @cache
 def php():
-    g_inline = r"\?>(?:[^<]|<(?!\?(?:[pP][hH][pP]\b|=)))*+(?:<\?(?:[pP][hH][pP]\b|=)|\Z)"
-    dq = r'[bB]?"(?:[^"\\]|\\[\s\S])*+"'
-    sq = r"[bB]?'(?:[^'\\]|\\[\s\S])*+'"
-    start = r"\A(?:[^<]|<(?!\?(?:[pP][hH][pP]\b|=)))*+(?:<\?(?:[pP][hH][pP]\b|=)|\Z)"
+    g_inline = r"\?>[^<]*+(?:<(?!\?(?:[pP][hH][pP]\b|=))[^<]*+)*+(?:<\?(?:[pP][hH][pP]\b|=)|\Z)"
+    dq = r'[bB]?"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+    sq = r"[bB]?'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
+    start = r"\A[^<]*+(?:<(?!\?(?:[pP][hH][pP]\b|=))[^<]*+)*+(?:<\?(?:[pP][hH][pP]\b|=)|\Z)"
     cast = r"\(\s*(?:int|integer|bool|boolean|float|double|string|array|object|unset|binary)\s*\)"
     classes = {"INLINE": r"(?:\?>[\s\S]*|(?:[^<]|<(?!\?))[\s\S]*<\?(?:[pP][hH][pP]|=)|<\?(?:[pP][hH][pP]|=))", "STR": rf"{dq}|{sq}|`(?:[^`\\]|\\[\s\S])*`|<<<[\s\S]*", "NUM": r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)", "VAR": r"\$" + _NAME, "CAST": cast, "MODIFIER": "public protected private abstract final readonly var".split(), "NAME": _NAME,
         "INCDEC": ["++", "--"], "ASSIGN": "+= -= *= /= .= %= **= &= |= ^= <<= >>= ??=".split(), "PREFIX": "! ~ @".split(), "BINOP": "* / % . ** ^ < > <= >= == != <> === !== <=> && || << >> ?? |>".split()}
@@ -312,8 +353,8 @@ def php():
     g = Grammar(text, {"file": "File"}, classes, soft=("self", "null", "true", "false", "enum", "from", "match", "parent"))
     g.classes["WORD"] |= {g.ids["MODIFIER"]}
     g._compile()
-    body = rf"(?:\s|//(?:[^\n?]|\?(?!>))*|\#(?!\[)(?:[^\n?]|\?(?!>))*|/\*[\s\S]*?\*/)*+"
-    toks = rf"{start}|{g_inline}|{dq}|{sq}|`(?:[^`\\]|\\[\s\S])*+`|{cast}|\$?{_IDENT}|\.?\d(?:(?<=[eE])[+-](?=\d)|[\w]|\.(?!\.))*|/\*|{_ops('<=>', '**=', '...', '===', '!==', '??=', '?->', '<<=', '>>=', '#[', '->', '=>', '::', '++', '--', '<<', '>>', '<=', '>=', '==', '!=', '<>', '&&', '||', '??', '+=', '-=', '*=', '/=', '.=', '%=', '&=', '|=', '^=', '**', '|>')}|[\s\S]|\Z"
+    body = rf"(?:\s+|(?://|\#(?!\[))[^\n?]*+(?:\?(?!>)[^\n?]*+)*+|{_BLOCK})*+"
+    toks = rf"\$[A-Za-z_]\w*+|[;,)}}\[\]{{]|[A-Za-z_]\w*+(?![\"'])|{start}|{g_inline}|{dq}|{sq}|`(?:[^`\\]|\\[\s\S])*+`|{cast}|\$?{_IDENT}|\.?\d(?:(?<=[eE])[+-](?=\d)|[\w]|\.(?!\.))*|/\*|{_ops('<=>', '**=', '...', '===', '!==', '??=', '?->', '<<=', '>>=', '#[', '->', '=>', '::', '++', '--', '<<', '>>', '<=', '>=', '==', '!=', '<>', '&&', '||', '??', '+=', '-=', '*=', '/=', '.=', '%=', '&=', '|=', '^=', '**', '|>')}|[\s\S]|\Z"
     here = r"<<<[ \t]*(?P<q>['\"]?)(?P<tag>[^\W\d]\w*)(?P=q)\r?\n(?:[^\n]*\n)*?[ \t]*(?P=tag)\b"
     del soft
     return _Php("php", g, rf"{body}({toks})", classes, _PHP_RESERVED, heredoc=re.compile(rf"{body}({here}|{toks})"))
@@ -328,8 +369,8 @@ _RUBY_RESERVED = "BEGIN END alias and begin break case class def defined? do els
 def ruby():
     pct = r"%[wWiIqQxrs]?(?:\((?:[^()\\]|\\[\s\S]|\([^()]*\))*+\)|\[(?:[^\[\]\\]|\\[\s\S]|\[[^\[\]]*\])*+\]|\{(?:[^{}\\]|\\[\s\S]|\{[^{}]*\})*+\}|<(?:[^<>\\]|\\[\s\S])*+>|\|(?:[^|\\]|\\[\s\S])*+\||!(?:[^!\\]|\\[\s\S])*+!)"
     interp = r"\#\{(?:[^{}]|\{[^{}]*\})*\}"
-    dq = rf"\"(?:[^\"\\#]|\\[\s\S]|{interp}|\#)*+\""
-    sq, bq = r"'(?:[^'\\]|\\[\s\S])*+'", rf"`(?:[^`\\#]|\\[\s\S]|{interp}|\#)*+`"
+    dq = rf"\"(?:[^\"\\#]++|\\[\s\S]|{interp}|\#)*+\""
+    sq, bq = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'", rf"`(?:[^`\\#]|\\[\s\S]|{interp}|\#)*+`"
     rex = rf"/(?![\s=*])(?:[^/\\\r\n\[#]|\\.|\[(?:[^\]\\\r\n]|\\.)*+\]|{interp}|\#)*+/[imxounse]*"
     sym = rf":(?:{dq}|{sq}|[^\W\d]\w*[?!=]?(?![\w:])|\[\]=?|<=>|===?|=~|[!+\-~]@|\*\*|<<|>>|<=|>=|[+\-*/%<>!~^&|])"
     label = r"(?:[^\W\d]\w*[?!]?|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'):(?!:)"
@@ -341,13 +382,13 @@ def ruby():
     g = Newlines(text, {"file": "File"}, classes, mode="line", joins=(".", "&."), soft=())
     g.classes["WORD"] |= {g.ids["CONST"]}
     g._compile()
-    body = r"(?:[^\S\n]|\\\r?\n|\#[^\n]*|(?m:^)=begin\b[\s\S]*?\n=end\b[^\n]*)*+"
+    body = r"(?:[^\S\n]+|\\\r?\n|\#[^\n]*|(?m:^)=begin\b[\s\S]*?\n=end\b[^\n]*)*+"
     before = r"(?:\A|(?<=[=(,\[!|&{;\n~?:])|(?<=\bif)|(?<=\bunless)|(?<=\bwhen)|(?<=\band)|(?<=\bor)|(?<=\bnot)|(?<=\breturn)|(?<=\bsplit)|(?<=\bin))[^\S\n]*"
     toks = rf"__END__\r?\n[\s\S]*|{nl}|{label}|{sym}|{dq}|{sq}|{bq}|{num}|@@?[^\W\d]\w*|\$(?:[^\W\d]\w*|[!@&~0-9$?:\"<>,./\;*+`']|-\w)|defined\?|[^\W\d]\w*(?:[?!](?![=~])|\?(?==[=~]))?|\?[a-zA-Z](?!\w)|{_ops('...', '..', '**=', '||=', '&&=', '<=>', '===', '<<=', '>>=', '&.', '->', '=>', '::', '==', '!=', '=~', '!~', '>=', '<=', '&&', '||', '<<', '>>', '+=', '-=', '*=', '/=', '%=', '|=', '&=', '^=', '**')}|[\s\S]|\Z"
     pctb = rf"(?:(?<![\w)\]}}\"'])|(?<=\s)){pct}"
     here = r"<<(?P<sq>[~-]?)(?P<q>[\"'`]?)(?P<tag>[A-Z_a-z]\w*)(?P=q)(?<=[A-Z_a-z\d\"'`])(?P<rest>[^\n]*)(?P<nl>\n)(?:[^\n]*\n)*?[ \t]*(?P=tag)(?=\r?\n|\Z)"
-    code = rf"(?:(?={before}{rex})|{body})"
-    lang = _Ruby("ruby", g, rf"{code}({pctb}|{before}{rex}|{toks})", classes, [*_RUBY_RESERVED, "__END__"])
+    code = rf"(?:(?=[^\S\n]*/)(?={before}{rex})|{body})"
+    lang = _Ruby("ruby", g, rf"{code}([A-Za-z_]\w*+(?![\"'?!:])|[;,(){{}}]|{pctb}|{before}{rex}|{toks})", classes, [*_RUBY_RESERVED, "__END__"])
     lang.heredoc = re.compile(rf"{code}({here}|{pctb}|{before}{rex}|{toks})")
     return lang
 
@@ -394,7 +435,7 @@ def _nested(depth):
 
 
 _SUBST = rf"\$\{{{_nested(3)}*\}}"
-_TPL = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|{_SUBST})*+`"
+_TPL = rf"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|{_SUBST})*+`"
 
 
 def _script(name, typed, jsx):
@@ -414,8 +455,8 @@ def _script(name, typed, jsx):
     before = r"(?:\A|(?<=[=(,\[!|&{;?:+\-*%<>~^\n}])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|(?<=\bin)|(?<=\bof)|(?<=\bdelete)|(?<=\bvoid)|(?<=\bthrow)|(?<=\bnew)|(?<=\belse)|(?<=\bdo))(?:\s|/\*[^*]*\*/)*"
     rex = r"/(?![*/])(?:[^/\\\r\n\[]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*+\])++/\w*"
     nl = r"(?<![;{,(\[])\n\s*+"
-    space = r"(?:[^\S\n]|(?<=[;{,(\[])\n\s*+|//[^\n]*|/\*(?:(?!\*/)[^\n])*\*/|\A\#![^\n]*)*+"
-    pattern = rf"(?:(?={before}{rex})|{space})({before}{rex}|{nl}|/\*[\s\S]*?\*/|{_TPL}|{_DQ}|{_SQ}|\.?\d(?:(?<=[eE])[+-](?=\d)|[\w.])*|[\#]?(?:[^\W\d]|\$)[\w$]*|{_ops('...', '=>', '?.', '===', '!==', '**=', '<<=', '>>=', '>>>=', '&&=', '||=', '??=', '++', '--', '**', '<<', '<=', '>=', '==', '!=', '&&', '||', '??', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=')}|[\s\S]|\Z)"
+    space = r"(?:[^\S\n]+|(?<=[;{,(\[])\n\s*+|//[^\n]*|/\*[^*\n]*+(?:\*(?!/)[^*\n]*+)*+\*/|\A\#![^\n]*)*+"
+    pattern = rf"(?:(?=\s*+/)(?={before}{rex})|{space})({_FAST}|{before}{rex}|{nl}|{_BLOCK}|{_TPL}|{_DQ}|{_SQ}|\.?\d(?:(?<=[eE])[+-](?=\d)|[\w.])*|[\#]?(?:[^\W\d]|\$)[\w$]*|{_ops('...', '=>', '?.', '===', '!==', '**=', '<<=', '>>=', '>>>=', '&&=', '||=', '??=', '++', '--', '**', '<<', '<=', '>=', '==', '!=', '&&', '||', '??', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=')}|[\s\S]|\Z)"
     if not jsx:
         pattern = pattern.replace(r"\?\.", r"\?\.(?!\d)")
     lang = _Script(name, g, pattern, classes | {"NL": r"\n\s*|/\*[\s\S]*\n[\s\S]*\*/"}, [*_JS_RESERVED])
