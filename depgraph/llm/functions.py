@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depgraph.llm import lexers
+from depgraph.sources.shared import kept
 
 #: Descriptions in more than one of so many documented functions of the corpus are taken for templates if they speak about documentation itself.
 TEMPLATE_SHARE = 500
@@ -332,11 +333,8 @@ def document_nodes(nodes: DataFrame, files: DataFrame, with_code: bool = True, m
     """
     last = F.max_by(F.struct("repo_id", "file_path", "name", "line_start"), F.struct("updated_at", "line_start"))
     wanted = nodes.where("id IS NOT NULL AND lower(type) = 'function'").groupBy("id").agg(last.alias("r")).select("id", "r.repo_id", "r.file_path", F.element_at(F.split("r.name", "::"), -1).alias("name"), F.element_at(F.split("id", "::"), -2).alias("owner_name"), "r.line_start")
-    found = functions(files, with_code)
-    given = found.where("n_words >= 1" if min_words > 0 else "true")
+    found = kept(functions(files, with_code), "functions")  # parsed once, read for the counts and for the pairs
     bad = templates(found)
-    given = given.withColumn("doc_hash", doc_hash(F.col("description"))).join(F.broadcast(bad), "doc_hash", "left_anti").drop("doc_hash")
-    del given  # matching must see undocumented functions of the same name too; templates are dropped afterwards
     f = found.select("repo_id", "file_path", "name", F.struct("owner", "line", "end_line", "description", "n_words", "valid", "language", "code").alias("f"))
     pairs = wanted.join(f, ["repo_id", "file_path", "name"])
     off = F.when(F.col("line_start").isNull(), F.when(F.col("f.owner") == F.col("owner_name"), 0).when(F.col("f.owner").isNull(), 1).otherwise(2)).otherwise(F.abs(F.col("f.line") - F.col("line_start")))
