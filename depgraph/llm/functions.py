@@ -339,5 +339,5 @@ def document_nodes(nodes: DataFrame, files: DataFrame, with_code: bool = True, m
     pairs = wanted.join(f, ["repo_id", "file_path", "name"])
     off = F.when(F.col("line_start").isNull(), F.when(F.col("f.owner") == F.col("owner_name"), 0).when(F.col("f.owner").isNull(), 1).otherwise(2)).otherwise(F.abs(F.col("f.line") - F.col("line_start")))
     best = pairs.groupBy("id", "repo_id", "file_path", "name").agg(F.min_by("f", F.struct(off, "f.line", -F.col("f.n_words"))).alias("f"))
-    kept = best.where(F.col("f.n_words") >= min_words).withColumn("doc_hash", doc_hash(F.col("f.description"))).join(F.broadcast(bad), "doc_hash", "left_anti")
-    return kept.select("id", "repo_id", "file_path", "f.language", "name", "f.line", "f.description", "f.n_words", "f.valid", "f.code")
+    said = best.where(F.col("f.n_words") >= min_words).withColumn("doc_hash", doc_hash(F.col("f.description"))).join(F.broadcast(bad), "doc_hash", "left_anti")
+    return said.select("id", "repo_id", "file_path", "f.language", "name", "f.line", "f.description", "f.n_words", "f.valid", "f.code")

@@ -35,6 +35,7 @@ _PLAIN_PLUGIN = re.compile(r"(?:^|/)(?:external|externals|extern|deps|plugins)/"
 _THIRD_PARTY = re.compile(r"(?:^|[\s*/#])(?:@license\b|@copyright\b|@preserve\b)|\bupstream at\b|\breleased under (?:the )?(?:\w+[- ])?(?:\w+ )?licen[cs]e\b|\bcopyright (?:\(c\)|©)?\s*\d{4}.{0,12}\bthe \w[\w.-]* (?:authors|contributors|project|developers|team)\b|^\W*/?\*!.*\bv?\d+\.\d+", re.I | re.M)
 _OWN = re.compile(r"\ball rights reserved\b|\bterms in LICENSE\b|\bpart of the\b", re.I)
 _CHECKOUT = re.compile(r"(?:^|/)(?:mirrors?|upstream|third[_-]?party|3rd[_-]?party|external|vendor|vendored|forks?)/[^/]+(?:/|$)", re.I)
+_BLOB = re.compile(r"[A-Za-z0-9+/=]{40,}")
 _HEAD = re.compile(r"\s*(?:<\?php\b)?\s*(?:<\?xml[^>]*>\s*)?((?:(?:/\*[\s\S]*?\*/|//[^\n]*|\#(?!\s*(?:include|define|if|ifdef|ifndef|pragma)\b)[^\n]*|\"\"\"[\s\S]*?\"\"\"|<!--[\s\S]*?-->|=begin[\s\S]*?=end)\s*)*)")
 _LAST = re.compile(r"(?:/\*[^*]*(?:\*(?!/)[^*]*)*\*/|(?://|\#)[^\n]*|=begin(?:(?!=begin)[\s\S])*=end|\?>)\s*$")
 
@@ -65,16 +66,14 @@ def shape(text: str, spelled: list[str]) -> tuple[bool, bool]:
     """(minified or packed, data saved as code) by lengths of lines and kinds of tokens."""
     n = len(text)
     lines = text.count("\n") + 1
-    names = literals = in_strings = 0
+    names = literals = 0
     for t in spelled:
         c = t[:1]
         if c.isdigit() or c in "\"'`" or c == "." and len(t) > 1 and t[1].isdigit() or t in ("true", "false", "null", "None", "True", "False", "nil"):
             literals += 1
-            if c in "\"'`":
-                in_strings += len(t)
         elif c.isalpha() or c in "_$":
             names += 1
-    data = literals >= 40 and names <= 0.04 * literals + 6 or n >= 200 and in_strings >= 0.8 * n and names <= 12
+    data = literals >= 40 and names <= 0.04 * literals + 6 or n >= 200 and sum(map(len, _BLOB.findall(text))) >= 0.6 * n
     longest = max(map(len, text.split("\n")))
     blanks = sum(map(text.count, " \t\n")) / max(n, 1)
     minified = not data and names >= 20 and n >= 300 and (n / lines >= 150 and blanks < 0.12 or longest >= 0.8 * n and longest >= 300 and blanks < 0.12)
