@@ -41,6 +41,11 @@ def boundaries(text: str, base: int = 0) -> list[int]:
     return [base + m.start() for m in _pattern().finditer(text)]
 
 
+def cut_points(text: str, base: int = 0) -> list[int]:
+    """Boundaries behind a visible character. Behind white space the pattern looks at what follows, so a text can't be cut there."""
+    return [b for b in boundaries(text, base) if b > base and not text[b - base - 1].isspace()]
+
+
 def resynchronise(before: list[int], after: list[int]) -> int | None:
     """The first position at which both chunks see a boundary; from there on they agree."""
     common = set(before) & set(after)
@@ -51,9 +56,9 @@ def chunk_cuts(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[in
     """True pre-token boundaries, one in each overlap, found from the chunks alone; None if some pair doesn't meet."""
     cuts = []
     for start in range(chunk, len(text), chunk):
-        tail = boundaries(text[start - chunk : start + overlap], start - chunk)
+        tail = cut_points(text[start - chunk : start + overlap], start - chunk)
         end = min(len(text), start + overlap)
-        head = boundaries(text[start : start + chunk + overlap], start)
+        head = cut_points(text[start : start + chunk + overlap], start)
         cut = resynchronise([b for b in tail if start < b <= (end if end == len(text) else end - LOOKAHEAD)], [b for b in head if b > start])
         if cut is None:
             return None
@@ -88,7 +93,7 @@ def _chunk_edges(overlap: int):
         for b in batches:
             heads, tails = [], []
             for start, stop, total, text in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                bs = boundaries(text, start)
+                bs = cut_points(text, start)
                 heads.append([x for x in bs if start < x <= start + overlap])
                 end = min(total, stop + overlap)
                 tails.append([x for x in bs if stop < x <= (end if end == total else end - LOOKAHEAD)])
