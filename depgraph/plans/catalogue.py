@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depgraph.plans import training
+from depgraph.plans import codegraph, training
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    return training.p4_in_degrees(spark, folder)
+    return codegraph.impact_d3(spark, folder)
 
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**codegraph.Q, **training.QUERIES}
+SQL = {**codegraph.SQL, **training.SQL}
