@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depgraph.llm import lexers
+from depgraph.sources.shared import kept
 
 #: Tokens in a fingerprint, and fingerprints from which winnowing keeps the least. Any copied run of K + W - 1 tokens shares a fingerprint.
 K, W = 24, 12
@@ -131,7 +132,7 @@ def not_handwritten(files: DataFrame, repos: DataFrame, share: float = COPY_SHAR
     only by the path of their repository, or, if unreadable, by their own. Repositories are matched by id; a
     file without repository row can't be a checkout's. Empty tables give no rows.
     """
-    f = features(files)
+    f = kept(features(files), "origin")  # lexed once, read for the counts, the join and the files
     prints = f.where(F.size("prints") > 0).select("file_id", "repo_id", F.explode("prints").alias("print")).withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)))
     spread = prints.groupBy("print", "repo_id").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count("*").alias("n_repos")).where(F.col("n_repos") >= least_repos)
     spread = spread.select("print", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
