@@ -76,12 +76,14 @@ def cycles(graph: Graph, limit: int = 20, max_vertices: int = SMALL_GRAPH, max_l
     found = arcs.sparkSession.createDataFrame([], "length int, nodes array<string>")
     paths, have, length = arcs.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes")), 0, 2
     while have < limit and (max_length is None or length <= max_length):
-        paths = checkpointed(paths)
-        if paths.isEmpty():
+        ends = arcs.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.lit(True).alias("closes"))
+        paths = checkpointed(paths.join(ends, ["last", "first"], "left"))
+        n_paths, n_closed = paths.agg(F.count("*"), F.count("closes")).first()
+        if not n_paths:
             break
-        closed = paths.join(arcs, (F.col("last") == F.col("src")) & (F.col("first") == F.col("dst"))).select(F.lit(length).alias("length"), "nodes")
-        found = found.unionByName(closed.orderBy("nodes").limit(limit))
-        have += closed.count()
+        if n_closed:
+            found = found.unionByName(paths.where("closes").select(F.lit(length).alias("length"), "nodes").orderBy("nodes").limit(limit))
+            have += n_closed
         grown = paths.join(arcs, F.col("last") == F.col("src")).where((F.col("dst") > F.col("first")) & ~F.array_contains("nodes", F.col("dst")))
         paths = grown.select("first", F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes"))
         length += 1
@@ -162,7 +164,7 @@ def critical_nodes(graph: Graph, top: int = 20, max_vertices: int = SMALL_GRAPH,
     return r.orderBy(F.desc("score"), "id").limit(top).select("id", "name", "type", "score", "in_degree", "out_degree")
 
 
-def communities(graph: Graph, min_size: int = 2, rounds: int = 12, levels: int = 4) -> DataFrame:
+def communities(graph: Graph, min_size: int = 2, rounds: int = 5, levels: int = 2) -> DataFrame:
     """(id, community): groups with more weight inside than chance would give; a community is named by its least id.
 
     Louvain's local moving, done for all vertices at once: in a round every vertex looks at its neighbours'

@@ -106,7 +106,7 @@ def impact_by_file(affected: DataFrame) -> DataFrame:
 
 def ego(graph: Graph, start: DataFrame, radius: int = 2) -> Graph:
     """The induced graph of all nodes at most radius steps from the starts, directions ignored."""
-    both = graph.arcs.unionByName(graph.arcs.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*graph.arcs.columns))
+    both = graph.arcs.unionByName(graph.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "confidence", "weight", "seq"))
     near = reach(Graph(graph.vertices, both), start, radius).select("id").unionByName(start.select("id")).distinct()
     vertices = graph.vertices.join(near, "id", "left_semi")
     return Graph(vertices, within(graph.arcs, vertices))
