@@ -40,7 +40,7 @@ _HEAD = rf"(?:[\w<>\[\],.?*&:\s]|@\w+)*?"
 _C_IMPORT = [(r"^[ \t]*\#[ \t]*include[ \t]*[<\"]([^>\"\n]+)", "imports", lambda s: s.split("/")[-1].split(".")[0])]
 _JS = LanguageSpec(
     rf"\b(?:class|interface)[ \t]+(?P<name>{_ID})(?:[ \t]+extends[ \t]+(?P<bases>[\w.]+))?[^{{;]*\{{",
-    rf"\bfunction[ \t]*\*?[ \t]*(?P<name>{_ID})[ \t]*(?:<[^>(]*>)?[ \t]*\(|^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)[ \t]+|\*[ \t]*)*(?P<method>{_ID})[ \t]*(?:<[^>(]*>)?\((?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;=]+)?\{{)",
+    rf"\bfunction[ \t]*\*?[ \t]*(?P<name>{_ID})[ \t]*(?:<[^>(]*>)?[ \t]*\(|(?:^|(?<=[{{;}}]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)[ \t]+|\*[ \t]*)*(?P<method>{_ID})[ \t]*(?:<[^>(]*>)?\((?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;=]+)?\{{)",
     [(r"^[ \t]*(?:import|export)\b[^;\n]*?from[ \t]*(['\"][^'\"\n]+['\"])", "imports_from", _last("/")), (r"^[ \t]*import[ \t]*(['\"][^'\"\n]+['\"])", "imports_from", _last("/"))],
 )
 _C = LanguageSpec(r"\b(?:struct|union|enum|class)[ \t]+(?P<name>[^\W\d]\w*)(?:[ \t]*:[^{;]*)?\s*\{", rf"^(?:[\w*&:<>,~\[\]]+[ \t\n*&]+)+(?P<owner>{_ID}::)?(?P<name>~?{_ID})[ \t]*\((?=[^;{{}}]*\)[^;{{}}()]*\{{)", _C_IMPORT)
