@@ -94,7 +94,7 @@ class Grammar:
         self.ids = {x: i for i, x in enumerate(names)}
         self.names, self.n_open, self.n_bracket = names, len(opens), len(names) and len(opens) + len(closes)
         words = [x for x in literals if re.match(r"[A-Za-z_]", x)] if word else []
-        self.literals = set(literals)
+        self.literals = set(literals) - {x for p in pairs for x in p if x.isalpha()}  # INDENT and the like are no spellings
         self.classes = {c: {self.ids[c]} for c in (*classes, EOF)}
         for c, spelled in classes.items() if isinstance(classes, dict) else ():
             if isinstance(spelled, (list, tuple, set)):  # spellings that are literals of the grammar too

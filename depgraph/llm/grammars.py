@@ -345,7 +345,7 @@ ElemPat = BindElem | '...' BindTarget ;
 BindElem = BindTarget [ '=' Assign ] ;
 PropName = WORD | STR | NUM | PRIVATE | '[' Assign ']' ;
 Params = '(' [ Param { ',' Param } [ ',' ] ] ')' ;
-Param = Decorators %ACC [ '...' ] BindTarget %OPT %TA [ '=' Assign ] ;
+Param = Decorators %ACC [ '...' ] BindTarget %OPT %TA [ '=' Assign ] %THIS ;
 Function = [ 'async' ] 'function' [ '*' ] [ NAME@m ] %TP Params %RT FuncBody ;
 Decorators = { '@' ( NAME | '(' Expr ')' ) { '.' WORD | '(' [ Args ] ')' } } ;
 Class = %ABS 'class' [ NAME@c ] %TP [ 'extends' Call %TARGS ] %IMPL ClassBody ;
@@ -386,7 +386,7 @@ Named = '{' [ Spec { ',' Spec } [ ',' ] ] '}' ;
 Spec = %TYPEKW ( WORD | STR ) [ 'as' ( WORD | STR ) ] ;
 Export = 'export' ( %TYPEKW ( '*' [ 'as' ( WORD | STR ) ] 'from' STR [ 'with' Object ] Semi | Named [ 'from' STR [ 'with' Object ] ] Semi ) | 'default' ( Function | Decorators Class | StmtDefault Semi %DEFAULT ) | Declared ) ;
 StmtDefault = Array | Assign ;
-Declared = Function | Decorators Class | ( 'var' | 'let' ) Binding { ',' Binding } Semi | 'const' ConstBinding { ',' ConstBinding } Semi %STMT ;
+Declared = Function | Decorators Class | ( 'var' | 'let' ) Binding { ',' Binding } Semi | 'const' %CONST { ',' %CONST } Semi %STMT ;
 Frag = { Stmt | Import | Export | Member } EOF ;
 """
 
@@ -428,11 +428,11 @@ def script(typed=False, jsx=False):
     ts = {
         "%TA": "[ ':' Type ]", "%RT": "[ ':' RetType ]", "%TP": "[ TypeParams ]", "%OPT": "[ '?' ]", "%DEF": "[ '!' ]", "%ABS": "[ 'abstract' ]", "%IMPL": "[ 'implements' Heritage { ',' Heritage } ]", "%TARGS": "[ TypeArgs ]",
         "%ACC": "{ MODIFIER | 'readonly' | 'override' }", "%MACC": "{ MODIFIER | 'static' | 'readonly' | 'abstract' | 'override' | 'declare' | 'accessor' }", "%BODY": "( FuncBody | Semi )", "%MEMBER": "| { MODIFIER | 'static' | 'readonly' } '[' NAME ':' Type ']' ':' Type Semi",
-        "%AS": "{ ( 'as' | 'satisfies' ) ( Type | 'const' ) }", "%CAST": "" if jsx else "| '<' ( Type | 'const' ) '>'", "%SEL": "| '!' | TypeArgs ( '(' [ Args ] ')' | TPL )", "%BANG": "{ '!' }", "%STMT": "| TsDecl", "%TYPEKW": "[ 'type' ]", "%DEFAULT": "| 'interface' NAME [ TypeParams ] ObjType | Function2",
+        "%AS": "{ ( 'as' | 'satisfies' ) ( Type | 'const' ) }", "%CONST": "Binding", "%THIS": "| 'this' ':' Type", "%CAST": "" if jsx else "| '<' ( Type | 'const' ) '>'", "%SEL": "| '!' | TypeArgs ( '(' [ Args ] ')' | TPL )", "%BANG": "{ '!' }", "%STMT": "| TsDecl", "%TYPEKW": "[ 'type' ]", "%DEFAULT": "| 'interface' NAME [ TypeParams ] ObjType | Function2",
     }
     text = _SCRIPT
     for k in sorted({*ts, "%JSX"}, key=len, reverse=True):
-        text = text.replace(k, ("| Jsx" if jsx else "") if k == "%JSX" else ts[k] if typed else {"%MACC": "[ 'static' ]", "%BODY": "FuncBody"}.get(k, ""))
+        text = text.replace(k, ("| Jsx" if jsx else "") if k == "%JSX" else ts[k] if typed else {"%MACC": "[ 'static' ]", "%BODY": "FuncBody", "%CONST": "ConstBinding"}.get(k, ""))
     if typed:
         text = text.replace("Flat = Unary {", "Flat = Unary %AS {".replace("%AS", ts["%AS"])).replace("Export = 'export' (", "Export = 'export' ( '=' Expr Semi | 'as' 'namespace' NAME Semi |")
     else:

@@ -164,7 +164,7 @@ class Scorer:
         def run():
             if ids:
                 r = convolve(self.z, np.array(ids + [0] * pad), self.m.bias)
-                top = np.maximum(np.maximum.reduceat(r, cuts, axis=0), 0)
+                top = np.maximum(np.maximum.reduceat(r, cuts, axis=0)[::2], 0)  # every second stretch is padding
                 np.maximum.at(best, owner, top @ self.m.out + self.m.out_bias)
             ids.clear()
             cuts.clear()
@@ -175,7 +175,7 @@ class Scorer:
                 if len(self.index) > KEPT_WORDS:
                     run()
                     self.reset()
-                cuts.append(len(ids))
+                cuts += [len(ids), len(ids) + len(words)]
                 owner.append(i)
                 ids += self.ids(words) + [0] * pad
                 if len(ids) >= BLOCK:
@@ -215,7 +215,7 @@ def _train(docs: list[list[list[int]]], feats: list[tuple[int, list[int]]], y: n
             e[used == 0] = 0
             z = e @ m.filters
             conv = convolve(z, at, m.bias)
-            logit = np.maximum(np.maximum.reduceat(conv, cuts, axis=0), 0) @ m.out
+            logit = np.maximum(np.maximum.reduceat(conv, np.stack([cuts, cuts + size - pad], axis=1).ravel(), axis=0)[::2], 0) @ m.out
             many = np.array([len(docs[i]) for i in some])
             first = np.cumsum(many) - many
             worst = np.array([f + int(logit[f : f + n].argmax()) for f, n in zip(first.tolist(), many.tolist())])
@@ -224,7 +224,7 @@ def _train(docs: list[list[list[int]]], feats: list[tuple[int, list[int]]], y: n
             more = [(f + int(x)) for f, n, t in zip(first.tolist(), many.tolist(), truth.tolist()) if t < 0.5 and n > 1 for x in r.integers(0, n, MORE)]
             worst = np.concatenate([worst, np.array(more, np.int64)])
             truth, share = np.concatenate([truth, np.zeros(len(more), np.float32)]), np.concatenate([share, np.full(len(more), 1 / MORE, np.float32)])
-            arg = np.array([c + conv[c : c + n].argmax(axis=0) for c, n in zip(cuts[worst].tolist(), size[worst].tolist())])
+            arg = np.array([c + conv[c : c + n].argmax(axis=0) for c, n in zip(cuts[worst].tolist(), (size[worst] - pad).tolist())])
             h = np.maximum(conv[arg, np.arange(n_out)], 0)
             keep = (r.random(h.shape) > 0.2) / 0.8
             hd = h * keep
