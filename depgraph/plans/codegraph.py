@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from depgraph.functions.exprs import search_tokens
 from depgraph.operators import algorithms as al
+from depgraph.operators import extract as ex
 from depgraph.operators import graph as gr
+from depgraph.operators import ingest as ig
+from depgraph.operators import overview as ov
 from depgraph.operators import search as se
 from depgraph.operators import store as st
 from depgraph.plans import lenses
 from depgraph.sources import files as fi
+from depgraph.sources.shared import kept
 from depgraph.sources.tables import table
 
 
@@ -437,3 +441,37 @@ def _token_sql():
 def tokenise(spark, d):
     t = search_tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n"), F.md5(F.array_join(t, " ")).alias("digest"))
+
+
+# -- extraction and overviews ------------------------------------------------------------------------------------------------
+@query()
+def extract_sources(spark, d):
+    """Nodes that extraction finds in the source files."""
+    files = table(spark, d, "source_files").dropDuplicates(["file_id"])
+    n = ex.extracted_nodes(ex.extract_files(files))
+    return n.select("id", "type", "name", "line_start", "line_end", "docstring")
+
+
+@query()
+def extract_edges(spark, d):
+    """Edges of the source files, resolved by name and with both ends known."""
+    x = kept(ex.extract_files(table(spark, d, "source_files").dropDuplicates(["file_id"])), "extracted")
+    nodes = ex.extracted_nodes(x)
+    return st.referenced_edges(ig.resolve(ex.extracted_edges(x), nodes), nodes).select("id", "source_id", "target_id", "relation", "confidence")
+
+
+@query()
+def overview_cached(spark, d):
+    """The overview of the trade graph as it is kept, one row."""
+    g = lenses.trade(spark, d).stored("overview")
+    edges = g.arcs.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "relation")
+    return ov.metrics_table(spark, "trade", ov.overview(g, g.vertices, edges)).select("repo_id", "metric", "value_json")
+
+
+@query()
+def report_markdown(spark, d):
+    """The report on the trade graph, a row per line."""
+    g = lenses.trade(spark, d).stored("report")
+    edges = g.arcs.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "relation")
+    text = ov.report("trade", ov.overview(g, g.vertices, edges))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line bigint, text string")

@@ -10,12 +10,13 @@ import pytest
 from depgraph.api import Api
 from depgraph.operators import algorithms as al
 from depgraph.operators import graph as gr
+from depgraph.operators import overview as ov
 from depgraph.operators import search as se
 from depgraph.operators.extract import SPECS, extract
 from depgraph.operators.ingest import Store, ingest
 from depgraph.plans import catalogue
 from depgraph.sources import files as fi
-from depgraph.streaming.ingest import stream_files
+from depgraph.streaming.ingest import stream_files, stream_pushes
 
 NODE = "id string, repo_id string, type string, name string, file_path string, language string, docstring string"
 ARC = "src string, dst string, relation string, confidence string, weight double, seq bigint"
@@ -181,6 +182,36 @@ def test_stream_and_questions(spark, tmp_path):
     assert json.loads(api.list_repos())["repos"][0]["n_nodes"] == 6
 
 
+def test_pushes_rebuild_their_repositories(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.py").write_text("def a(): pass\n")
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "1.json").write_text('{"repository": "One", "ref": "main"}\n{"repository": "r1", "ref": "dev"}\n{"repository": "nobody", "ref": "main"}\n')
+    repos = spark.createDataFrame([("r1", "One", str(tmp_path / "one")), ("r2", "Two", str(tmp_path / "two"))], "id string, name string, path string")
+    stream_pushes(spark, str(tmp_path / "events"), repos, lambda i, p: fi.scan(spark, p, i), str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
+    assert {r["id"] for r in Store(spark, str(tmp_path / "store")).table("nodes").select("id").collect()} == {"r1::a.py", "r1::a.py::a"}
+
+
+def test_overview_and_report(spark):
+    k = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(4) for j in range(4) if i != j]
+    g = make(spark, [*k("a"), *k("b"), ("a0", "b0")])
+    e = g.arcs.select("src", "relation")
+    value = ov.overview(g, g.vertices, e)
+    assert value["cycles"]["count"] == 20 and len(value["communities"]) == 2 and value["stats"]["relations"] == {"calls": 25}
+    text = ov.report("r", value)
+    assert "## Cycles: 20" in text and "8 nodes, 25 edges" in text and "a0 > a1" in text
+
+
+def test_config(tmp_path):
+    assert fi.load_config(str(tmp_path)).name == tmp_path.name
+    (tmp_path / ".depgraph.yml").write_text("name: shop\nexclude: [gen, '**/migrations/**']\nlanguages: php\n")
+    c = fi.load_config(str(tmp_path))
+    assert (c.name, c.exclude, c.languages) == ("shop", ["gen", "**/migrations/**"], [])
+    (tmp_path / ".depgraph.yml").write_text("a: [\n")
+    assert fi.load_config(str(tmp_path)).name == tmp_path.name
+
+
 def same(v):
     if isinstance(v, float):
         return round(v, 6) + 0.0
