@@ -17,7 +17,7 @@ from depgraph.sources.shared import kept
 #: Tokens in a fingerprint, and fingerprints from which winnowing keeps the least. Any copied run of K + W - 1 tokens shares a fingerprint.
 K, W = 24, 12
 #: A copy: at least this share of a file's fingerprints occurs in at least so many repositories.
-COPY_SHARE, COPY_REPOS = 0.5, 3
+COPY_SHARE, COPY_REPOS = 0.4, 3
 #: Salts over which the files of one fingerprint are spread when fingerprints and files are joined.
 SALTS = 8
 
@@ -110,7 +110,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text and not text.isspace():
                 spelled = [t for t in (dialects[0].spellings(text) if dialects else re.findall(r"\w+|[^\w\s]", text)) if t and not t.isspace() and t[0] not in "\n\r"]
                 marks, forms, prints = comment_marks(text), shape(text, spelled), winnow(spelled)
-            reason = ",".join(r for r, on in (("generated", marks[0] or bool(text) and bool(_GENERATED_NAME.search(path or ""))), ("vendored", vendored_path(path) and text != "" or marks[1]), ("minified", forms[0]), ("data", forms[1])) if on)
+            reason = ",".join(r for r, on in (("generated", marks[0] or bool(text) and bool(_GENERATED_NAME.search(path or ""))), ("vendored", vendored_path(path) and (text is None or bool(text.strip())) or marks[1]), ("minified", forms[0]), ("data", forms[1])) if on)
             rows.append((reason, *marks, *forms, prints))
         cols = list(zip(*rows)) or [()] * 6
         out = [pa.array(c, t) for c, t in zip(cols, kinds)]
