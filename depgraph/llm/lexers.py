@@ -37,8 +37,8 @@ class Language:
     spelling wins, spellings of grammar literals come before that.
     """
 
-    def __init__(self, name, grammar, pattern, classes, reserved=(), heredoc=None, post=None, retry=None, frag="Frag"):
-        self.name, self.grammar, self.heredoc, self.post, self.retry, self.frag = name, grammar, heredoc, post, retry, frag
+    def __init__(self, name, grammar, pattern, classes, reserved=(), heredoc=None, post=None, frag="Frag"):
+        self.name, self.grammar, self.heredoc, self.post, self.frag = name, grammar, heredoc, post, frag
         self.pattern = re.compile(pattern)
         self.tests = [(grammar.ids[c], re.compile(t) if isinstance(t, str) else frozenset(t)) for c, t in classes.items()]
         self.reserved = frozenset(reserved)
@@ -95,7 +95,7 @@ class Language:
     def valid(self, text):
         """Whether some dialect accepts the whole text."""
         text = text.removeprefix("\ufeff")
-        return self.grammar.accepts(self.tokens(text)) or bool(self.retry and any(self.grammar.accepts(self.tokens(t)) for t in self.retry(text)))
+        return self.grammar.accepts(self.tokens(text))
 
 
 def _with_heredocs(pattern, text):
@@ -223,40 +223,157 @@ _C_QUAL = "const volatile restrict static extern inline register typedef _Noretu
 _C_RESERVED = "break case continue default do else enum for goto if return sizeof struct switch union while".split()
 
 
-def _c_branches(text):
-    """The text with the later branches of conditional directives left out, then with the first ones."""
-    if "#if" not in text and "# if" not in text:
-        return
-    for keep_first in (True, False):
-        out, stack = [], []
-        for line in text.split("\n"):
-            m = re.match(r"\s*#\s*(if\w*|el\w+|endif)\b\s*(\S*)", line)
-            if m:
-                if m[1].startswith("if"):
-                    stack.append(m[2] != "0" if keep_first else False)
-                elif m[1] == "endif":
-                    if not stack:
-                        return
-                    stack.pop()
-                elif stack:
-                    stack[-1] = not keep_first and m[1] == "else" or keep_first and not stack[-1] and m[1] == "else" and False
-                out.append("")
-            else:
-                out.append(line if all(stack) else "")
-        if stack:
-            return
-        yield "\n".join(out)
+#: Conditions whose value is fixed in C. Their other branches are never compiled, so they need not parse.
+_C_KNOWN = {"0": False, "1": True, "__cplusplus": False}
+_C_DIRECTIVE = re.compile(r"\s*#\s*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error)\b([\s\S]*)")
+_C_DEFINED = re.compile(r"(!?)\s*defined\s*(?:\(\s*(\w+)\s*\)|(\w+))")
+_C_COMMENT = re.compile(rf"({_DQ}|{_SQ})|{_COMMENT}")
+
+
+class _Branch:
+    """A branch of a conditional: lines and chains of branches in ``items``; the whole text is one, too."""
+
+    def __init__(self, up=None, key=None, holds=True):
+        self.up, self.key, self.holds, self.items, self.dead = up, key, holds, [], False
+
+    def needs(self):
+        """Variants until each branch inside was taken once."""
+        return max((sum(b.needs() for b in c) for c in self.items if isinstance(c, list)), default=1) or 1
+
+    def inner(self):
+        for c in self.items:
+            for b in c if isinstance(c, list) else ():
+                yield b
+                yield from b.inner()
+
+
+def _c_condition(word, rest):
+    rest = " ".join(rest.replace("\\\n", " ").replace("\\\r\n", " ").split())
+    if word.endswith("def"):
+        return rest.split(" ")[0], not word.endswith("ndef")
+    m = _C_DEFINED.fullmatch(rest)
+    return (m[2] or m[3], not m[1]) if m else (rest, True)
+
+
+def _c_tree(text):
+    """The whole text as a branch, without comments and branches that are never compiled; None if directives don't balance."""
+    text = _C_COMMENT.sub(lambda m: m[1] or " ", text)
+    root = at = _Branch()
+    chains = []
+    for line in re.split(r"(?<!\\)(?<!\\\r)\n", text):
+        m = _C_DIRECTIVE.match(line)
+        if not m:
+            at.items.append(line)
+        elif m[1] == "error":
+            at.dead = at is not root
+        elif m[1].startswith("if"):
+            chains.append([_Branch(at, *_c_condition(m[1], m[2]))])
+            at.items.append(chains[-1])
+            at = chains[-1][0]
+        elif not chains or m[1] != "endif" and chains[-1][-1].key is None:
+            return None
+        elif m[1] == "endif":
+            at, chain = at.up, chains.pop()
+            live = []
+            for b in chain:
+                value = b.key is None or _C_KNOWN.get(b.key)
+                value = value if value is None or b.key is None else value == b.holds
+                if value is not False and not b.dead:
+                    live.append(b)
+                if value:
+                    break
+            chain[:] = live
+        else:
+            key, holds = (None, True) if m[1] == "else" else _c_condition(m[1], m[2])
+            at = _Branch(at.up, key, holds)
+            chains[-1].append(at)
+    return None if chains else root
+
+
+def _c_cover(branch, k, lines, taken):
+    """The k-th variant of those that take every branch once; no chain is left out."""
+    taken.add(branch)
+    for c in branch.items:
+        if isinstance(c, str):
+            lines.append(c)
+            continue
+        needs = [b.needs() for b in c]
+        i = min(k, sum(needs) - 1)
+        for b, n in zip(c, needs):
+            if i < n:
+                _c_cover(b, i, lines, taken)
+                break
+            i -= n
+
+
+def _c_around(branch, forced, truth, lone, last, lines, taken):
+    """A variant that takes the ``forced`` branches, in which equal conditions have equal values."""
+    taken.add(branch)
+    for c in branch.items:
+        if isinstance(c, str):
+            lines.append(c)
+            continue
+        pick = next((b for b in c if b in forced), None)
+        if not pick:
+            free = []
+            for b in c:
+                value = True if b.key is None else truth.get(b.key)
+                if value is not None and b.key is not None:
+                    value = value == b.holds
+                if value is not False:
+                    free.append(b)
+                if value:
+                    break
+            pick = free[-1 if last else 0] if free and (lone or truth.get(free[0].key) is not None or free[-1].key is None) else None
+        for b in c:
+            if b.key is not None:
+                truth.setdefault(b.key, b.holds == (b is pick))
+            if b is pick:
+                _c_around(b, forced, truth, lone, last, lines, taken)
+                break
 
 
 class _C(Language):
     def valid(self, text):
-        level = 0
-        if "#" in text and "if" in text:
-            for m in re.finditer(r"(?m)^[ \t]*#[ \t]*(if|endif|el)", text):
-                level += {"if": 1, "endif": -1, "el": 0}[m[1]]
-                if level < 0:
-                    return False
-        return level == 0 and super().valid(text)
+        """Whether every branch of the conditionals is part of a text that is accepted.
+
+        Conditionals without #else are kept as long as that parses. Of a branch that fails, texts are tried in
+        which other conditionals are left out or take another branch; what stands in it is part of all of them.
+        """
+        if "#" not in text or "if" not in text and "#el" not in text.replace(" ", ""):
+            return super().valid(text)
+        root = _c_tree(text.removeprefix("\ufeff"))
+        if root is None:
+            return False
+        seen, covered = {}, set()
+
+        def accepts(make, *how):
+            lines, taken = [], set()
+            make(root, *how, lines, taken)
+            t = "\n".join(lines)
+            if t not in seen:
+                seen[t] = self.grammar.accepts(self.tokens(t))
+            if seen[t]:
+                covered.update(taken)
+            return seen[t]
+
+        for k in range(root.needs()):
+            accepts(_c_cover, k)
+        for branch in (*root.inner(), root):
+            own = "\n".join(x for x in branch.items if isinstance(x, str))
+            if branch in covered or branch is not root and not self.tokens(own):
+                continue
+            forced, truth, b = set(), {}, branch
+            while b.up:
+                forced.add(b)
+                chain = next(c for c in b.up.items if isinstance(c, list) and b in c)
+                for x in chain[: chain.index(b) + 1]:
+                    if x.key is not None:
+                        truth[x.key] = x.holds == (x is b)
+                b = b.up
+            if not any(accepts(_c_around, forced, dict(truth), lone, last) for lone in (True, False) for last in (False, True)):
+                return False
+        return True
 
 
 @cache
@@ -269,7 +386,7 @@ def c():
     g._compile()
     directive = r"^[ \t]*#[ \t]*(?:(?:include|include_next|define|undef|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|error|warning|pragma|line|embed|import|ident|\d+)\b(?:[^\n\\]|\\\r?\n|\\)*|\r?$)"
     pattern = rf"(?m)(?:{directive}|\n|[^\S\n]+|{_COMMENT}|\\\r?\n)*+({_FAST}|(?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?{_SQ}|\.?\d(?:[eEpP][+-]|[\w.]|'\w)*|{_IDENT}|/\*|{_ops('...', '<<=', '>>=', '->', '++', '--', '<<', '>>', '<=', '>=', '==', '!=', '&&', '||', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=', '::')}|[\s\S]|\Z)"
-    return _C("c", g, pattern, classes, _C_RESERVED, retry=_c_branches)
+    return _C("c", g, pattern, classes, _C_RESERVED)
 
 
 # -- Java ------------------------------------------------------------------------------------------------------------

@@ -181,3 +181,23 @@ def test_origin_over_tables(spark):
     got = {r["file_id"]: r["reasons"] for r in origin.not_handwritten(files, repos).collect()}
     assert got == {0: "copied", 1: "copied", 2: "copied", 20: "checkout", 23: "generated"}
     assert origin.not_handwritten(files.where("false"), repos).collect() == []
+
+
+GUARD = "#ifndef X_H\n#define X_H\n%s\n#endif\n"
+
+
+@pytest.mark.parametrize("text", [
+    GUARD % "int f( {", GUARD % "<<<<<<< HEAD\nint x;\n=======\nint y;\n>>>>>>> b", "int x;\n#ifdef A\nint f( {\n#endif\n", "#if A\nint x;\n#elif B\nint f( {\n#endif\n", "#if A\nint f( {\n#else\nint x;\n#endif\n",
+    "#if A\nint x;\n#else\nint f( {\n#endif\n", "#if A\n#if B\nint x;\n#else\nint y\n#endif\n#else\nint z;\n#endif\n", "#if A\nint x;\n#elif B\nint y;\n#elif C\nint z\n#else\nint w;\n#endif\n", "#else\nint x;\n",
+])
+def test_c_errors_in_conditionals(text):
+    assert syntax.is_valid(text, "c") is False
+    assert syntax.is_valid(text.replace("\n", "\r\n"), "c") is False
+
+
+@pytest.mark.parametrize("text", [
+    GUARD % "int f(void);", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#ifdef __cplusplus\n}\n#endif\n", "#if 0\nit's not {\n#else\nint x;\n#endif\n", "#ifdef A\nint f(int x) {\n#endif\n#ifdef B\nint f(long x) {\n#endif\n return 1; }\n",
+    "#if A\nint f(int x) {\n#elif B\nint f(long x) {\n#else\n#error neither\n#endif\n return 1; }\n", "int f(int a) {\n#ifdef A\n if (a) {\n#endif\n#ifndef A\n {\n#endif\n a++; } return a; }\n", "/*\n#if 0\n*/\nint x;\n", "#if A && \\\n    B\nint x;\n#endif /* A\n and B */\n",
+])
+def test_c_conditionals_that_parse(text):
+    assert syntax.is_valid(text, "c") and syntax.is_valid(text.replace("\n", "\r\n"), "c")
