@@ -16,6 +16,8 @@ from depgraph.sources.shared import checkpointed
 
 #: Above so many vertices, centrality is by degree and cycles are skipped; so many pivots stand for all sources at most.
 SMALL_GRAPH, PIVOTS = 5_000, 500
+#: A rise in modularity that counts, and the rounds of local moving without one after which a level ends.
+EPSILON, PATIENCE = 1e-4, 3
 
 
 def shortest_paths(graph: Graph, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -164,14 +166,16 @@ def critical_nodes(graph: Graph, top: int = 20, max_vertices: int = SMALL_GRAPH,
     return r.orderBy(F.desc("score"), "id").limit(top).select("id", "name", "type", "score", "in_degree", "out_degree")
 
 
-def communities(graph: Graph, min_size: int = 2, rounds: int = 5, levels: int = 2) -> DataFrame:
+def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON) -> DataFrame:
     """(id, community): groups with more weight inside than chance would give; a community is named by its least id.
 
     Louvain's local moving, done for all vertices at once: in a round every vertex looks at its neighbours'
     communities and half of the vertices (by a hash that changes each round) move to the one with the largest
-    gain in modularity; communities are then merged into vertices of the next level. Reciprocal arcs count
+    gain in modularity; communities are then merged into vertices of the next level. A level ends when no
+    vertex wants to move, or when PATIENCE rounds have not raised modularity by ``epsilon``; its best state
+    counts, and the last level is the one that merges nothing. Reciprocal arcs count
     once, with the weight of the later one. Communities smaller than min_size are left out. A round is a join
-    and an aggregation, checkpointed; nothing is collected but the total weight.
+    and an aggregation, checkpointed; nothing is collected but sums.
     """
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
     und = graph.arcs.where("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.max_by("weight", "seq").alias("w"))
@@ -181,30 +185,38 @@ def communities(graph: Graph, min_size: int = 2, rounds: int = 5, levels: int =
     if not total:
         return member.select("id", F.col("id").alias("community")).where(F.lit(min_size <= 1))
     member = checkpointed(member)
-    for level in range(levels):
-        strength = checkpointed(links.groupBy("u").agg(F.sum("w").alias("k")))
-        state = checkpointed(strength.select("u", "k", F.col("u").alias("c")))
-        moved_at_all = False
-        for r in range(rounds):
+    level = 0
+    while True:
+        state = checkpointed(links.groupBy("u").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("loop")).select("u", "k", "loop", F.col("u").alias("c")))
+        best_q, best_state, mark, since, r = -2.0, state, -2.0, 0, 0
+        while True:
             sizes = state.groupBy("c").agg(F.sum("k").alias("tot"))
             to = links.where("u <> v").join(state.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u", "d").agg(F.sum("w").alias("w"))
             stay = state.select("u", F.col("c").alias("d"), F.lit(0.0).alias("w"))
             options = to.unionByName(stay).groupBy("u", "d").agg(F.sum("w").alias("w")).join(state, "u").join(sizes.withColumnRenamed("c", "d"), "d")
-            tot = F.col("tot") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(0.0)
+            here = F.col("d") == F.col("c")
+            tot = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
             gain = F.round(F.col("w") - F.col("k") * tot / total, 9)
-            best = options.groupBy("u").agg(F.max(F.struct(gain.alias("gain"), (F.col("d") == F.col("c")).alias("here"), F.col("d").alias("d"))).alias("best"))
+            # the part of the state's modularity: what the vertex has inside, less what chance would give it there
+            part = F.when(here, F.col("w") + F.col("loop") - F.col("k") * F.col("tot") / total)
+            best = options.groupBy("u").agg(F.max(F.struct(gain.alias("gain"), here.alias("here"), F.col("d").alias("d"))).alias("best"), F.max(part).alias("part"))
             turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(r)), F.lit(2)) == 0
-            nxt = checkpointed(state.join(best, "u").select("u", "k", F.when(turn, F.col("best.d")).otherwise(F.col("c")).alias("c"), (turn & (F.col("best.d") != F.col("c"))).alias("moved")))
-            moved = nxt.where("moved").count()
-            state = nxt.select("u", "k", "c")
-            moved_at_all |= moved > 0
-            if not moved and r:
+            nxt = checkpointed(state.join(best, "u").select("u", "k", "loop", F.when(turn, F.col("best.d")).otherwise(F.col("c")).alias("c"), (F.col("best.d") != F.col("c")).alias("wants"), "part"))
+            q, wants = nxt.agg(F.sum("part"), F.count_if("wants")).first()
+            q /= total
+            mark, since = (q, 0) if q > mark + epsilon else (mark, since + 1)
+            if q > best_q:
+                best_q, best_state = q, state
+            if not wants or since >= PATIENCE:
                 break
-        if not moved_at_all:
+            state, r = nxt.select("u", "k", "loop", "c"), r + 1
+        n, m = best_state.agg(F.count("*"), F.count_distinct("c")).first()
+        if m == n:
             break
-        member = checkpointed(member.join(state.select(F.col("u").alias("node"), "c"), "node", "left").select("id", F.coalesce("c", "node").alias("node")))
-        new = links.join(state.select("u", F.col("c").alias("cu")), "u").join(state.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
+        member = checkpointed(member.join(best_state.select(F.col("u").alias("node"), "c"), "node", "left").select("id", F.coalesce("c", "node").alias("node")))
+        new = links.join(best_state.select("u", F.col("c").alias("cu")), "u").join(best_state.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
         links = checkpointed(new.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        level += 1
     named = member.groupBy("node").agg(F.min("id").alias("community"), F.count("*").alias("size")).where(F.col("size") >= min_size)
     return member.join(named, "node").select("id", "community")
 

@@ -73,6 +73,18 @@ def test_communities_beat_components(spark):
     assert al.modularity(g, c) > al.modularity(g, whole)
 
 
+def test_communities_until_nothing_merges(spark):
+    g = make(spark, [(f"v{i:03}", f"v{i + 1:03}") for i in range(23)])
+    c = {r["id"]: r["community"] for r in al.communities(g, 1).collect()}
+    line = [c[f"v{i:03}"] for i in range(24)]
+    degree = lambda i: 1 if i in (0, 23) else 2
+    inside = lambda x: sum(degree(i) for i in range(24) if line[i] == x)
+    assert set(c) == {f"v{i:03}" for i in range(24)}
+    for x, y in {(a, b) for a, b in zip(line, line[1:]) if a != b}:
+        links = sum({a, b} == {x, y} for a, b in zip(line, line[1:]))
+        assert links / 23 <= 2 * inside(x) * inside(y) / (2 * 23) ** 2 + al.EPSILON  # merging the two gains nothing
+
+
 def test_search_ranks_like_fts5(spark):
     rows = [("1", "r", "class", "ParseTree", "src/tree.py", "python", "Walks the tree quickly"), ("2", "r", "function", "walk_tree", "src/walk.py", "python", "tree walk walk"), ("3", "q", "function", "other", "lib/x.go", "go", None), ("4", "r", "function", "Café", "a/b.c", "c", "the tree walks"), ("5", "r", "class", "z", "z", "c", ""), ("6", "r", "class", "q", "q", "c", "tree of the walk")]
     nodes = spark.createDataFrame(rows, NODE)
