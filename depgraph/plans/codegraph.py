@@ -384,6 +384,12 @@ def connected_components(spark, d):
     return al.connected_components(_graph(spark, d, relations=["inherits", "method"]))
 
 
+@query()
+def connected_components_all(spark, d):
+    """Components of the whole graph, over all relations; the recursive SQL above can't follow its giant component."""
+    return al.connected_components(_graph(spark, d))
+
+
 @query()
 def communities(spark, d):
     g = _graph(spark, d).stored("code")
