@@ -24,6 +24,8 @@ MORE = 4
 PRIOR_WEIGHT = 4.0
 #: F1 that a threshold may fall short of the best one.
 NEARLY = 0.01
+#: A harmful label whose out-of-fold score is below this is taken for a mistake, however many labels there are.
+DOUBT = 0.06
 #: Labelled documents of each kind that a language needs for a threshold of its own.
 LANGUAGE_MIN = 12
 #: Positions convolved at once, and words kept with their filter responses.
@@ -289,7 +291,7 @@ def fit(texts: list[str], langs: list[str], harmful: np.ndarray, seed: int = 1,
     """A model of the labels (0 to 1, raters averaged).
 
     Scores for documents out of the fold they were fitted on serve twice: labels that contradict them strongly are
-    taken for mistakes and left out, and the thresholds by language are calibrated on them. Without labels of both
+    taken for mistakes and left out of the final fit, and the thresholds by language are calibrated on all of them. Without labels of both
     kinds, the model gives every document its share of harmful labels (0 without labels) and flags none.
     """
     index: dict[str, int] = {"": 0}
@@ -308,15 +310,13 @@ def fit(texts: list[str], langs: list[str], harmful: np.ndarray, seed: int = 1,
         rest = np.flatnonzero(fold != f)
         m = _train([docs[i] for i in rest], feats, y[rest], seed + f)
         part[fold == f] = Scorer(m).score([texts[i] for i in np.flatnonzero(fold == f)])
-    # the more harmful examples there were to learn from, the less a low score can be for want of them
-    doubt = 0.06 + 0.24 * min(1.0, y.sum() / 400)
-    wrong = (y > 0.5) & (part < doubt) | (y < 0.5) & (part > 0.9)
+    wrong = (y > 0.5) & (part < DOUBT) | (y < 0.5) & (part > 0.9)
     good = np.flatnonzero(~wrong)
     m = _train([docs[i] for i in good], feats, y[good], seed)
     names = np.array([language(x) for x in langs])
-    m.thresholds = {"": _threshold(part[good], y[good], PRIOR_WEIGHT)}
+    m.thresholds = {"": _threshold(part, y, PRIOR_WEIGHT)}
     for name in set(names.tolist()) - {""}:
-        mine = good[names[good] == name]
+        mine = np.flatnonzero(names == name)
         if min((y[mine] > 0.5).sum(), (y[mine] < 0.5).sum()) >= LANGUAGE_MIN:
             m.thresholds[name] = _threshold(part[mine], y[mine], PRIOR_WEIGHT)
     return m

@@ -133,3 +133,13 @@ def test_scores_over_tables(spark):
     assert harm.score_documents(docs(spark, rows), labels.where("false")).where("harmful").count() == 0
     assert harm.score_documents(docs(spark, []), labels).collect() == []
     assert harm.language("EN-xx") == "en" and harm.language("und") == "" and harm.language(None) == ""
+
+
+def test_doubt_does_not_grow_with_labels(monkeypatch):
+    fitted, calibrated, new = [], [], harm.Model.new(1)
+    monkeypatch.setattr(harm, "_train", lambda docs, feats, y, seed: fitted.append(len(docs)) or new)
+    monkeypatch.setattr(harm, "_threshold", lambda p, y, w: calibrated.append(len(p)) or 0.5)
+    monkeypatch.setattr(harm, "Scorer", lambda m: type("S", (), {"score": lambda self, texts: np.array([float(t) for t in texts])})())
+    y = np.array([1.0] * 450 + [0.0] * 350)
+    harm.fit(["0.2"] * 440 + ["0.01"] * 10 + ["0.1"] * 350, ["en"] * 800, y)
+    assert fitted[-1] == 790 and calibrated == [800, 800]
