@@ -374,6 +374,13 @@ def betweenness(spark, d):
     return al.betweenness(lenses.trade(spark, d).stored("trade"))
 
 
+@query()
+def shortest_paths_code(spark, d):
+    """Cheapest paths from the five busiest sources over the whole code graph; enumerating them in SQL is too slow."""
+    g = _graph(spark, d).stored("code")
+    return al.shortest_paths(g, _busiest_source(spark, d, 5)).select("source", "target", "cost", "length", F.array_join("path", ">").alias("path"))
+
+
 @query()
 def critical_nodes(spark, d):
     return al.critical_nodes(_graph(spark, d).stored("code"))

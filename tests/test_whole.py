@@ -1,9 +1,11 @@
 """Queries over the whole code graph."""
 
+import heapq
 import os
 
 import pytest
 
+from depgraph.functions.exprs import path_cost
 from depgraph.plans import catalogue, codegraph
 
 DATA = "/root/testdata/sf0.001"
@@ -24,3 +26,19 @@ def test_components_over_all_relations(spark):
             a, b = sorted((root(a), root(b)))
             up[b] = a
     assert got == {x: root(x) for x in up}
+
+
+def test_paths_over_the_code_graph(spark):
+    arcs, want = {}, {}
+    for r in codegraph._graph(spark, DATA).arcs.select("src", "dst", path_cost().alias("c")).collect():
+        arcs.setdefault(r["src"], []).append((r["dst"], r["c"]))
+    for (s,) in codegraph._busiest_source(spark, DATA, 5).collect():
+        heap, done = [(0, 0, [s])], set()
+        while heap:
+            cost, length, path = heapq.heappop(heap)
+            if path[-1] not in done:
+                done.add(path[-1])
+                want[s, path[-1]] = cost, length, ">".join(path)
+                for dst, c in arcs.get(path[-1], []):
+                    heapq.heappush(heap, (cost + c, length + 1, [*path, dst]))
+    assert {(r["source"], r["target"]): (r["cost"], r["length"], r["path"]) for r in catalogue.QUERIES["shortest_paths_code"](spark, DATA).collect()} == want
