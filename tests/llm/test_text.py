@@ -28,11 +28,25 @@ def test_chunked_ids_are_those_of_the_whole(spark):
     for key, ids in got:
         text = texts[key or 0]
         assert ids == tokens.encode(text) and tokens.decode(ids) == (text or "")
-    assert tokens.chunk_cuts(texts[0], 900, 120) is not None and tokens.chunk_cuts("a" * 5000, 900, 120) is None
+    counted = tokens.with_token_counts(docs(spark, rows), "doc_id", "source").collect()
+    assert sorted((k or 0, n) for k, _, n in counted) == sorted((k or 0, len(ids)) for k, ids in got)
     assert tokens.encode_documents(docs(spark, [])).collect() == []
     assert 50256 not in tokens.encode("<|endoftext|>")
 
 
+def test_stitching_of_chunks():
+    enc, r, cases = tokens.encoding(), random.Random(5), []
+    alphabet = ["a", "b ", " ", "\n", "'ll", "9", "!?", "数", "é", " the", "\t\t", "x" * 30]
+    for n in (1, 30, 200, 1000):
+        cases += ["".join(r.choice(alphabet[:m]) for _ in range(n)) for m in (1, 3, 6, len(alphabet)) for _ in range(6)]
+    for text in cases:
+        for chunk, overlap in ((40, 12), (41, 20), (300, 9)):
+            spans = tokens.chunk_spans(len(text), chunk, overlap)
+            parts = [tokens.encode_chunk(enc, k, a, b, len(text), text[a : b + overlap], overlap) for k, (a, b) in enumerate(spans)]
+            assert tokens.stitch(enc, parts, overlap) == tokens.encode(text), (text, chunk, overlap)
+    assert tokens.resynchronise([3, 5, 9], [4, 5, 9]) == 5 and tokens.resynchronise([1], [2]) is None
+
+
 def test_same_ids_as_the_other_library():
     from tokenizers import Tokenizer
 
