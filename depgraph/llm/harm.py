@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -10,11 +11,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on, at most (chosen by the hash of their id).
-TRAIN_DOCUMENTS = 4_000
+#: Labelled documents that the model is fitted on, at most (chosen by the hash of their id), and characters in all of them.
+TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 12_000, 64_000_000
 #: Hash buckets of words and of their letter groups, size of an embedding, filters of each width, widths.
 WORDS, GROUPS, SIZE, FILTERS, WIDTHS = 1 << 14, 1 << 14, 24, 24, (1, 2, 3, 4)
 EPOCHS, BATCH, FOLDS = 8, 32, 2
@@ -287,29 +288,31 @@ def language(lang: str | None) -> str:
     return "" if s in ("", "und", "unknown") else re.split(r"[-_]", s)[0]
 
 
-def fit(texts: list[str], langs: list[str], harmful: np.ndarray, seed: int = 1, folds: int = FOLDS) -> Model:
-    """A model of the labels (0 to 1, raters averaged).
+Sample = tuple[list[list[list[int]]], list[tuple[int, list[int]]], np.ndarray]
 
-    Scores for documents out of the fold they were fitted on serve twice: labels that contradict them strongly are
-    taken for mistakes and left out of the final fit, and the thresholds by language are calibrated on all of them. Without labels of both
-    kinds, the model gives every document its share of harmful labels (0 without labels) and flags none.
-    """
+
+def _sample(texts: list[str], harmful: np.ndarray) -> Sample:
+    """Segments of word numbers (0 is padding), features by word number, and labels (0 or 1)."""
     index: dict[str, int] = {"": 0}
     docs = [[[index.setdefault(w, len(index)) for w in ws] for ws in segments(t)] for t in texts]
-    feats = [word_features(w) for w in index]
-    y = (np.asarray(harmful, np.float32) > 0.5).astype(np.float32)
-    if len(y) < 4 or y.min() == y.max():
-        m = Model.new(seed)
-        m.out[:] = 0
-        m.out_bias = float(np.log(max(1e-6, y.mean() if len(y) else 0) / max(1e-6, 1 - (y.mean() if len(y) else 0))))
-        m.thresholds = {"": 1.1}
-        return m
-    fold = np.random.default_rng(seed).permutation(len(y)) % folds
-    part = np.empty(len(y))
-    for f in range(folds):
-        rest = np.flatnonzero(fold != f)
-        m = _train([docs[i] for i in rest], feats, y[rest], seed + f)
-        part[fold == f] = Scorer(m).score([texts[i] for i in np.flatnonzero(fold == f)])
+    return docs, [word_features(w) for w in index], (np.asarray(harmful, np.float32) > 0.5).astype(np.float32)
+
+
+def _fold(n: int, folds: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).permutation(n) % folds
+
+
+def held_out(texts: list[str], harmful: np.ndarray, f: int, folds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, scores) of the documents of fold f, by a model of the others."""
+    docs, feats, y = _sample(texts, harmful)
+    fold = _fold(len(y), folds, seed)
+    rest, mine = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+    return mine, Scorer(_train([docs[i] for i in rest], feats, y[rest], seed + f)).score([texts[i] for i in mine])
+
+
+def final(texts: list[str], langs: list[str], harmful: np.ndarray, part: np.ndarray, seed: int) -> Model:
+    """The model of all documents whose label the held-out scores ``part`` don't contradict, with thresholds calibrated on all of them."""
+    docs, feats, y = _sample(texts, harmful)
     wrong = (y > 0.5) & (part < DOUBT) | (y < 0.5) & (part > 0.9)
     good = np.flatnonzero(~wrong)
     m = _train([docs[i] for i in good], feats, y[good], seed)
@@ -322,11 +325,73 @@ def fit(texts: list[str], langs: list[str], harmful: np.ndarray, seed: int = 1,
     return m
 
 
-def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """(doc_id, text, lang, harmful) of at most ``limit`` labelled documents; harmful is the mean of their raters, nulls and ties left out."""
+def constant(harmful: np.ndarray, seed: int) -> Model:
+    """Without labels of both kinds: every document has the share of harmful labels (0 without labels), none is flagged."""
+    m, share = Model.new(seed), (np.asarray(harmful) > 0.5).mean() if len(harmful) else 0.0
+    m.out[:] = 0
+    m.out_bias = float(np.log(max(1e-6, share) / max(1e-6, 1 - share)))
+    m.thresholds = {"": 1.1}
+    return m
+
+
+def one_kind(harmful: np.ndarray) -> bool:
+    y = np.asarray(harmful) > 0.5
+    return len(y) < 4 or y.min() == y.max()
+
+
+def fit(texts: list[str], langs: list[str], harmful: np.ndarray, seed: int = 1, folds: int = FOLDS) -> Model:
+    """A model of the labels (0 to 1, raters averaged), fitted in this process.
+
+    Scores for documents out of the fold they were fitted on serve twice: labels that contradict them strongly are
+    taken for mistakes and left out of the final fit, and the thresholds by language are calibrated on all of them.
+    """
+    if one_kind(harmful):
+        return constant(harmful, seed)
+    part = np.empty(len(texts))
+    for f in range(folds):
+        mine, scores = held_out(texts, harmful, f, folds, seed)
+        part[mine] = scores
+    return final(texts, langs, harmful, part, seed)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, characters: int = TRAIN_CHARACTERS) -> DataFrame:
+    """(doc_id, text, lang, harmful) of at most ``limit`` labelled documents with at most ``characters`` in all; harmful is the mean of their raters, nulls and ties left out."""
     votes = labels.where("doc_id IS NOT NULL AND harmful IS NOT NULL").groupBy("doc_id").agg(F.avg("harmful").alias("harmful")).where("harmful <> 0.5")
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(chosen, "doc_id")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
+    sizes = rows.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most ``limit`` rows
+    fit_in = sizes.withColumn("upto", upto).where(F.col("upto") <= characters).select("doc_id")
+    return rows.join(F.broadcast(fit_in), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, seed: int = 1, folds: int = FOLDS) -> Model:
+    """The model of :func:`fit`, fitted by tasks: one per fold, then one for the final model. The sample goes to them as a broadcast; its size is bounded."""
+    spark = docs.sparkSession
+    rows = sorted(labelled(docs, labels, limit).collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"] or "", r["harmful"]))
+    texts, langs, harmful = [r["text"] for r in rows], [r["lang"] for r in rows], np.array([r["harmful"] for r in rows])
+    if one_kind(harmful):
+        return constant(harmful, seed)
+    sample = spark.sparkContext.broadcast((texts, langs, harmful))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                mine, scores = held_out(sample.value[0], sample.value[2], f, folds, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(scores, pa.float64())], ["i", "score"])
+
+    part = np.empty(len(texts))
+    for i, score in spark.range(0, folds, 1, folds).mapInArrow(fold, "i bigint, score double").collect():
+        part[i] = score
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _ in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(final(*sample.value, part, seed))], pa.binary())], ["model"])
+
+    model = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(last, "model binary").first()[0])
+    sample.unpersist()
+    return model
 
 
 def _score_batches(model: Model):
@@ -343,13 +408,12 @@ def _score_batches(model: Model):
 def score_documents(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame:
     """(doc_id, lang, source, score, harmful) of every row.
 
-    The model is fitted on at most ``limit`` labelled documents on the driver and applied to the whole text
-    of every document where it's read. Null, empty and wordless texts score 0 and aren't harmful; documents
+    The model is fitted on at most ``limit`` labelled documents and applied to the whole text of every
+    document where it's read. Null, empty and wordless texts score 0 and aren't harmful; documents
     with an unknown language are held against the threshold of all. Rows are kept as they are; extra columns
     are ignored; empty tables give no rows.
     """
-    rows = sorted(labelled(docs, labels, limit).collect())
-    model = fit([r["text"] for r in rows], [r["lang"] for r in rows], np.array([r["harmful"] for r in rows]))
+    model = train(docs, labels, limit)
     kinds = dict(docs.dtypes)
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(_score_batches(model), f"doc_id {kinds['doc_id']}, lang string, source string, score double, harmful boolean")
 

@@ -145,6 +145,10 @@ def test_scores_over_tables(spark):
     rates = {r["source"]: r["n_docs"] for r in harm.rates(got).collect()}
     assert set(rates) == {"issue", "wiki", None} and sum(rates.values()) == len(rows)
     assert harm.score_documents(docs(spark, rows), labels.where("false")).where("harmful").count() == 0
+    some = sorted(harm.labelled(docs(spark, rows), labels).collect(), key=lambda r: r["doc_id"])
+    here, there = harm.fit([r["text"] for r in some], [r["lang"] for r in some], np.array([r["harmful"] for r in some])), harm.train(docs(spark, rows), labels)
+    assert here.thresholds == there.thresholds and np.array_equal(here.out, there.out)
+    assert harm.labelled(docs(spark, rows), labels, characters=500).agg({"*": "count"}).first()[0] < 20
     assert harm.score_documents(docs(spark, []), labels).collect() == []
     assert harm.language("EN-xx") == "en" and harm.language("und") == "" and harm.language(None) == ""
 
