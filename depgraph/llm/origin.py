@@ -18,23 +18,21 @@ from depgraph.sources.shared import kept
 K, W = 24, 12
 #: A copy: at least this share of a file's fingerprints occurs in at least so many repositories.
 COPY_SHARE, COPY_REPOS = 0.4, 3
-#: Salts over which the files of one fingerprint are spread when fingerprints and files are joined.
-SALTS = 8
+#: A fingerprint that holds at least one of so many fingerprints of the corpus is hot; there are at most so many.
+HOT = 10_000
 
-#: How tools mark their output, in the comments at a file's head or end.
+#: How tools mark their output, in the comments at a file's head or end. A mark says it of the file itself, so it begins a sentence.
+_BEGIN = r"(?:^|[.;:!]\s|--\s|—\s|>)[\s/*#<!\-\"'=;]*(?:(?:this|the) (?:file|code|module|source|class|script) (?:is|was|has been|contains) |this is )?"
 _GENERATED = re.compile(
-    r"@generated\b|<auto-?generated\b|\bcode generated\b|\bauto-?generated (?:on|by|from|using|file|code|with|at)\b|\b(?:automatically|machine|auto)[- ](?:generated|written|produced)\b(?! (?:method|function|constructor) stub)|\bgenerated (?:from|by|using|with|on|at|automatically)\b|\bdo not (?:edit|modify)\b(?! banner)|\bnot (?:be )?(?:edited|modified) by hand\b|\bchanges (?:will be|are) (?:lost|overwritten)\b|\bedit the (?:template|source|schema) instead\b|\bproduced by \w+ v?\d",
+    _BEGIN + r"(?:@generated\b|auto-?generated>|(?:code |file )?(?:auto-?|automatically |machine[- ])(?:generated|written|produced)\b(?! (?:method|function|constructor|class)? ?stub)|code generated\b|generated (?:from|by|using|with|on|at|automatically)\b|produced by \w+ v?\d|(?:please )?do not (?:edit|modify)\b|not (?:to )?be (?:edited|modified) by hand\b|(?:your |any |all )?changes (?:to this file |made here )?(?:will be|are) (?:lost|overwritten)\b|edit the (?:template|source|schema) instead\b)",
     re.I,
 )
-_MENTION = re.compile(r"\b(?:reads?|writes?|parses?|checks?|loads?|emits?|handles?|output carries|this file (?:doesn't|isn't)|then formats|looks? for)\b", re.I)
 _GENERATED_END = re.compile(r"\bend of (?:the )?(?:automatically |auto-?|machine-)generated\b", re.I)
 _GENERATED_NAME = re.compile(r"(?:_pb2?(?:_grpc)?\.\w+|\.pb(?:-c|\.gw)?\.\w+|(?:^|/)zz_generated[._][^/]*|OuterClass\w*\.java|\w(?:Grpc|Generated)\.java|[._-]generated\.\w+|\.(?:gen|g|designer)\.\w+)$", re.I)
 #: Folders of third-party code. Those of the second pattern need a folder of the package below them.
 _VENDOR_DIR = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|godeps|_workspace|pods|carthage|third[_-]?party|3rd[_-]?party|thirdparty)/", re.I)
 _VENDOR_PACKAGE = re.compile(r"(?:^|/)(?:vendor|vendors|vendored|externals?|plugins|extern|deps)/(?:[\w.@-]+)/", re.I)
-_PLAIN_PLUGIN = re.compile(r"(?:^|/)(?:external|externals|extern|deps|plugins)/", re.I)
 _THIRD_PARTY = re.compile(r"(?:^|[\s*/#])(?:@license\b|@copyright\b|@preserve\b)|\bupstream at\b|\breleased under (?:the )?(?:\w+[- ])?(?:\w+ )?licen[cs]e\b|\bcopyright (?:\(c\)|©)?\s*\d{4}.{0,12}\bthe \w[\w.-]* (?:authors|contributors|project|developers|team)\b|^\W*/?\*!.*\bv?\d+\.\d+", re.I | re.M)
-_OWN = re.compile(r"\ball rights reserved\b|\bterms in LICENSE\b|\bpart of the\b", re.I)
 _CHECKOUT = re.compile(r"(?:^|/)(?:mirrors?|upstream|third[_-]?party|3rd[_-]?party|external|vendor|vendored|forks?)/[^/]+(?:/|$)", re.I)
 _BLOB = re.compile(r"[A-Za-z0-9+/=]{40,}")
 _HEAD = re.compile(r"\s*(?:<\?php\b)?\s*(?:<\?xml[^>]*>\s*)?((?:(?:/\*[\s\S]*?\*/|//[^\n]*|\#(?!\s*(?:include|define|if|ifdef|ifndef|pragma)\b)[^\n]*|\"\"\"[\s\S]*?\"\"\"|<!--[\s\S]*?-->|=begin[\s\S]*?=end)\s*)*)")
@@ -55,12 +53,11 @@ def comment_marks(text: str) -> tuple[bool, bool]:
     """(marked as generated, marked as third-party) by the comments at the head or the end of a text."""
     head = _HEAD.match(text)[1] if text else ""
     lines = [x for x in head.split("\n") if x.strip()]
-    generated = any(_GENERATED.search(x) and not _MENTION.search(x) for x in lines)
+    generated = any(map(_GENERATED.search, lines))
     if not generated:
         m = _LAST.search(text[-400:])
         generated = bool(m and _GENERATED_END.search(m[0]))
-    foreign = bool(_THIRD_PARTY.search(head)) and not (_OWN.search(head) and not re.search(r"upstream at|@license|authors\b", head, re.I))
-    return generated, foreign
+    return generated, bool(_THIRD_PARTY.search(head))
 
 
 def shape(text: str, spelled: list[str]) -> tuple[bool, bool]:
@@ -128,18 +125,26 @@ def not_handwritten(files: DataFrame, repos: DataFrame, share: float = COPY_SHAR
     generated, minified, data, vendored (path or licence head), copied (fingerprints) and checkout.
 
     A copy is a file of whose winnowed fingerprints at least ``share`` occur in ``least_repos`` repositories
-    or more. Files delivered twice count once; null and empty contents have no fingerprints and are cases
+    or more. Of files delivered twice the reasons are put together; null and empty contents have no fingerprints and are cases
     only by the path of their repository, or, if unreadable, by their own. Repositories are matched by id; a
-    file without repository row can't be a checkout's. Empty tables give no rows.
+    file without repository row can't be a checkout's. Empty tables give no rows. Fingerprints that hold much
+    of the corpus are broadcast (at most HOT of them), so no task gets a hot one's files.
     """
     f = kept(features(files), "origin")  # lexed once, read for the counts, the join and the files
-    prints = f.where(F.size("prints") > 0).select("file_id", "repo_id", F.explode("prints").alias("print")).withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)))
-    spread = prints.groupBy("print", "repo_id").agg(F.lit(1).alias("one")).groupBy("print").agg(F.count("*").alias("n_repos")).where(F.col("n_repos") >= least_repos)
-    spread = spread.select("print", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    shared = prints.join(spread, ["print", "salt"]).groupBy("file_id").agg(F.count_distinct("print").alias("n_shared"))
-    own = f.groupBy("file_id").agg(F.max("repo_id").alias("repo_id"), F.max("reason").alias("reason"), F.max(F.size("prints")).alias("n_prints"))
+    prints = f.where(F.size("prints") > 0).select("file_id", "repo_id", F.explode("prints").alias("print"))
+    spread = prints.groupBy("print", "repo_id").agg(F.count("*").alias("n")).groupBy("print").agg(F.count("*").alias("n_repos"), F.sum("n").alias("n")).where(F.col("n_repos") >= least_repos)
+    spread = kept(spread.select("print", "n"), "origin-spread")
+    total = f.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0))).first()[0]
+    hot = F.broadcast(spread.where(F.col("n") * HOT >= total).select("print", F.lit(True).alias("hot")))  # at most HOT rows
+    rare = spread.where(F.col("n") * HOT < total).select(F.col("print").alias("key"), F.lit(True).alias("rare"))
+    # what is hot is known already and needs no partner; its rows go where their files' hashes lead
+    marked = prints.select("file_id", "print").join(hot, "print", "left").withColumn("at", F.when(F.col("hot"), F.xxhash64("file_id", "print")).otherwise(F.col("print")))
+    found = marked.join(rare, F.col("at") == F.col("key"), "left").where("hot OR rare")
+    shared = found.groupBy("file_id").agg(F.count_distinct("print").alias("n_shared"))
+    reasons = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("reason", ","))))), ",")  # of a handful of words
+    own = f.groupBy("file_id").agg(F.max("repo_id").alias("repo_id"), reasons.alias("reason"), F.max(F.size("prints")).alias("n_prints"))
     places = repos.where("id IS NOT NULL").select(F.col("id").alias("repo_id"), F.col("path").rlike("(?i)" + _CHECKOUT.pattern).alias("checkout")).groupBy("repo_id").agg(F.max("checkout").alias("checkout"))
     joined = own.join(shared, "file_id", "left").join(places, "repo_id", "left")
     copied = (F.col("n_shared") >= share * F.col("n_prints")) & (F.col("n_shared") >= 1)
-    reasons = F.concat_ws(",", F.nullif("reason", F.lit("")), F.when(copied, "copied"), F.when(F.col("checkout"), "checkout"))
+    reasons = F.concat_ws(",", F.nullif(F.regexp_replace("reason", "^,", ""), F.lit("")), F.when(copied, "copied"), F.when(F.col("checkout"), "checkout"))
     return joined.select("file_id", "repo_id", reasons.alias("reasons")).where("reasons <> ''")
