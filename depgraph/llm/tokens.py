@@ -24,8 +24,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CHUNK, OVERLAP = 2_048, 192
 #: The pattern looks ahead this far at most, so boundaries closer to a chunk's end aren't trusted.
 LOOKAHEAD = 4
-#: Copies of one row that are written out at once, and chunks sent to Spark at once.
-COPIES, HELD_CHUNKS = 1_000, 256
+#: Copies of one row that are written out at once, chunks sent to Spark at once, and rows that a Python worker turns into lists at once.
+COPIES, HELD_CHUNKS, HELD_ROWS = 1_000, 256, 500
 
 
 @lru_cache(4)
@@ -123,10 +123,16 @@ def chunk_spans(total: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [(i * chunk, total if i == n - 1 else (i + 1) * chunk) for i in range(n)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _encode_batches(folder: str, keep: int, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(folder)
-        for b in batches:
+        for b in _slices(batches):
             each = (enc.encode_ordinary(t) if t else [] for t in b.column(keep).to_pylist())
             ids = pa.array(map(len, each), pa.int64()) if counts else pa.array(each, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keep)), ids], [*b.schema.names[:keep], "ids"])
@@ -167,7 +173,7 @@ def _chunk_batches(folder: str, keep: int, overlap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(folder)
-        for b in batches:
+        for b in _slices(batches):
             done = [encode_chunk(enc, *row, overlap) for row in zip(*(b.column(keep + i).to_pylist() for i in range(2, 7)))]
             chunk = pa.StructArray.from_arrays([pa.array([getattr(c, n) for c in done], t) for n, t in _CHUNK], [n for n, _ in _CHUNK])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keep + 2)), chunk], [*b.schema.names[: keep + 2], "chunk"])
@@ -178,7 +184,7 @@ def _chunk_batches(folder: str, keep: int, overlap: int):
 def _stitch_batches(folder: str, keep: int, overlap: int, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(folder)
-        for b in batches:
+        for b in _slices(batches):
             each = (stitch(enc, [Chunk(**c) for c in chunks], overlap) for chunks in b.column(keep + 1).to_pylist())
             ids = pa.array(map(len, each), pa.int64()) if counts else pa.array(each, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keep + 1)), ids], [*b.schema.names[: keep + 1], "ids"])
