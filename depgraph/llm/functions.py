@@ -9,14 +9,15 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depgraph.llm import lexers
 from depgraph.sources.shared import kept
 
-#: Descriptions in more than one of so many documented functions of the corpus are taken for templates if they speak about documentation itself.
-TEMPLATE_SHARE = 500
+#: A description that at least one of so many documented functions of the corpus has, and at least so many of them, is a template.
+TEMPLATE_SHARE, TEMPLATE_LEAST = 190, 10
 #: Words of prose, besides the function's name, that a description must have.
 MIN_WORDS = 5
 
@@ -198,7 +199,6 @@ _MISSING = re.compile(
     r"^\W*(?:undocumented|not documented|to be documented|see above|same as above|inheritdoc|\{@inheritdoc\}|placeholder|lorem ipsum|work in progress|wip|n/?a)\b",
     re.I,
 )
-_ABOUT_DOCS = re.compile(r"doc|descri|comment|todo|fixme|stub|placeholder|tbd|summary|explain", re.I)
 _CODE = re.compile(
     r"(?:[=(){}$\[\]]|->|::|\breturn\b).*[;{}]\s*$|^\s*[\w$.]*\s*[;{}]+\s*$|^\s*[\w.$\->:\[\]'\"]+\s*(?:[-+*/%|&^]|\?\?)?:?=(?!=)\s*\S|^\s*(?:return|const|let|var|import|from|def|func|function|class|if|elif|else|for|foreach|while|switch|case|print|echo|throw|raise|end|puts|yield|await|new|public|private|protected|static)\b.*(?:[()\[\]{};=<>$]|:\s*$|\w\.\w)|^\s*\$?[\w.:>\-$]+\s*\([^)]*\)\s*;?\s*$|^\s*(?:end|else|pass|break|continue)\s*$|^\s*<\?|^\s*#include|^\s*@\w+\("
 )
@@ -237,8 +237,13 @@ def is_code(line: str, language: str | None = None) -> bool:
     return False
 
 
-def prose(lines: list[str], language: str | None = None) -> str:
-    """What is left without tag lines and what continues them, directives, rulers, placeholders and code."""
+def is_note(text: str) -> bool:
+    """Whether a short text only says that documentation is missing."""
+    return bool(_MISSING.search(text)) and len(_WORD.findall(text)) <= 12
+
+
+def prose(lines: list[str], language: str | None = None, notes: bool = False) -> str:
+    """What is left without tag lines and what continues them, directives, rulers and code; without ``notes``, nothing is left of a note that documentation is missing."""
     out, tag = [], False
     for s in lines:
         if not s:
@@ -256,7 +261,14 @@ def prose(lines: list[str], language: str | None = None) -> str:
         out.append(s)
     kept = [s for s in out if not is_code(s, language)]
     text = " ".join(kept)
-    return "" if _MISSING.search(text) and len(_WORD.findall(text)) <= 12 else text
+    return "" if not notes and is_note(text) else text
+
+
+def template_hash(text: str, name: str) -> int:
+    """Hash of a description whose words of the function's own name are masked; case and white space don't matter."""
+    own = _name_words(name)
+    masked = _WORD.sub(lambda m: "_" if m[0].lower() in own else m[0].lower(), text)
+    return xxhash.xxh3_64_intdigest(" ".join(masked.split())) - (1 << 63)
 
 
 def prose_words(text: str, name: str) -> int:
@@ -283,44 +295,43 @@ def _extract(with_code: bool):
                 for dialect in lexers.of(language, path)[:1]:
                     unix = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
                     for f in find_functions(dialect, unix):
-                        said = prose(clean(f.comment, f.docstring), dialect.name) if f.comment or f.docstring else ""
-                        rows.append((repo, path, dialect.name, f.name, f.owner, f.line, f.end_line, said, prose_words(said, f.name) if said else 0, f.valid, unix[f.start : f.end] if with_code else None))
+                        said = prose(clean(f.comment, f.docstring), dialect.name, notes=True) if f.comment or f.docstring else ""
+                        words = prose_words(said, f.name) if said else 0
+                        code = unix[f.start : f.end] if with_code and words >= MIN_WORDS else None
+                        rows.append((repo, path, dialect.name, f.name, f.owner, f.line, f.end_line, said, words, bool(said) and is_note(said), template_hash(said, f.name) if said else None, f.valid, code))
             cols = list(zip(*rows)) or [()] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)], [n for n, _ in _FIELDS])
 
     return run
 
 
-_FIELDS = [("repo_id", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("name", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("description", pa.string()), ("n_words", pa.int32()), ("valid", pa.bool_()), ("code", pa.string())]
+_FIELDS = [("repo_id", pa.string()), ("file_path", pa.string()), ("language", pa.string()), ("name", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("description", pa.string()), ("n_words", pa.int32()), ("note", pa.bool_()), ("doc_hash", pa.int64()), ("valid", pa.bool_()), ("code", pa.string())]
 
 
 def functions(files: DataFrame, with_code: bool = True) -> DataFrame:
     """Every function of every source file with what its documentation says.
 
     Columns: repo_id, file_path, language, name, owner (enclosing class, null if none), line, end_line,
-    description (prose only, "" if there is none), n_words (of it, without the function's own name), valid
-    (false: the function itself holds an error), code (null unless asked for). Null, empty and unsupported
-    files give nothing; a file delivered twice gives its functions twice. Extra columns are ignored.
+    description (prose only, "" if there is none), n_words (of it, without the function's own name), note (it
+    only says that documentation is missing), doc_hash (of it, the function's own name masked), valid (false:
+    the function itself holds an error), code (null unless asked for and described in MIN_WORDS words). Null,
+    empty and unsupported files give nothing; a file delivered twice gives its functions twice. Extra columns
+    are ignored.
     """
-    schema = "repo_id string, file_path string, language string, name string, owner string, line int, end_line int, description string, n_words int, valid boolean, code string"
+    schema = "repo_id string, file_path string, language string, name string, owner string, line int, end_line int, description string, n_words int, note boolean, doc_hash bigint, valid boolean, code string"
     return files.select("repo_id", "file_path", "language", "content").mapInArrow(_extract(with_code), schema)
 
 
-def templates(found: DataFrame, share: int = TEMPLATE_SHARE) -> DataFrame:
+def templates(found: DataFrame, share: int = TEMPLATE_SHARE, least: int = TEMPLATE_LEAST) -> DataFrame:
     """Hashes (column doc_hash) of the descriptions that recur over the corpus as fill-in text.
 
-    Descriptions are counted by hash over all functions, names masked by nothing but white space; one counts
-    as a template if at least one of ``share`` documented functions has it and it speaks about documentation
-    itself. So at most ``share`` rows come out, whatever the size of the corpus.
+    Descriptions are counted by hash over all functions, and the counts alone decide: one is a template if at
+    least one of ``share`` documented functions has it, and at least ``least`` of them. So at most ``share``
+    rows come out, whatever the size of the corpus.
     """
-    said = found.where("description <> ''").select(doc_hash(F.col("description")).alias("doc_hash"), F.col("description").rlike("(?i)" + _ABOUT_DOCS.pattern).alias("meta"))
-    counts = said.groupBy("doc_hash").agg(F.count("*").alias("n"), F.max("meta").alias("meta"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.where("meta").crossJoin(F.broadcast(total)).where(F.col("n") * share >= F.col("total")).where("n > 1").select("doc_hash")
-
-
-def doc_hash(c):
-    return F.xxhash64(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")))
+    counts = found.where("doc_hash IS NOT NULL").groupBy("doc_hash").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).where((F.col("n") * share >= F.col("total")) & (F.col("n") >= least)).select("doc_hash")
 
 
 def document_nodes(nodes: DataFrame, files: DataFrame, with_code: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
@@ -329,15 +340,16 @@ def document_nodes(nodes: DataFrame, files: DataFrame, with_code: bool = True, m
     Columns: id, repo_id, file_path, language, name, line, description, n_words, valid, code. Of repeated node
     rows the latest updated_at counts. A node belongs to the function of its file with its name (the last part
     after ``::``) whose head is nearest to line_start; without line_start, to one in the class that its id
-    names, else the first. Descriptions with fewer than min_words words of prose, and templates, are dropped.
+    names, else the first. Descriptions with fewer than min_words words of prose, templates, and the rarer notes that
+    documentation is missing are dropped.
     """
     last = F.max_by(F.struct("repo_id", "file_path", "name", "line_start"), F.struct("updated_at", "line_start"))
     wanted = nodes.where("id IS NOT NULL AND lower(type) = 'function'").groupBy("id").agg(last.alias("r")).select("id", "r.repo_id", "r.file_path", F.element_at(F.split("r.name", "::"), -1).alias("name"), F.element_at(F.split("id", "::"), -2).alias("owner_name"), "r.line_start")
     found = kept(functions(files, with_code), "functions")  # parsed once, read for the counts and for the pairs
     bad = templates(found)
-    f = found.select("repo_id", "file_path", "name", F.struct("owner", "line", "end_line", "description", "n_words", "valid", "language", "code").alias("f"))
+    f = found.select("repo_id", "file_path", "name", F.struct("owner", "line", "end_line", "description", "n_words", "note", "doc_hash", "valid", "language", "code").alias("f"))
     pairs = wanted.join(f, ["repo_id", "file_path", "name"])
     off = F.when(F.col("line_start").isNull(), F.when(F.col("f.owner") == F.col("owner_name"), 0).when(F.col("f.owner").isNull(), 1).otherwise(2)).otherwise(F.abs(F.col("f.line") - F.col("line_start")))
     best = pairs.groupBy("id", "repo_id", "file_path", "name").agg(F.min_by("f", F.struct(off, "f.line", -F.col("f.n_words"))).alias("f"))
-    said = best.where(F.col("f.n_words") >= min_words).withColumn("doc_hash", doc_hash(F.col("f.description"))).join(F.broadcast(bad), "doc_hash", "left_anti")
+    said = best.where((F.col("f.n_words") >= min_words) & ~F.col("f.note")).withColumn("doc_hash", F.col("f.doc_hash")).join(F.broadcast(bad), "doc_hash", "left_anti")
     return said.select("id", "repo_id", "file_path", "f.language", "name", "f.line", "f.description", "f.n_words", "f.valid", "f.code")

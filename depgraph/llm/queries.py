@@ -20,7 +20,7 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return fn.document_nodes(table(spark, d, "nodes"), table(spark, d, "source_files"), with_code=False).select("id")
+    return fn.document_nodes(table(spark, d, "nodes"), table(spark, d, "source_files")).select("id")
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:

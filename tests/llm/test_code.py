@@ -136,10 +136,12 @@ def test_pairs_over_tables(spark):
     assert fn.document_nodes(nodes.where("false"), files).collect() == [] and fn.document_nodes(nodes, files.where("false")).collect() == []
 
 
-def test_templates(spark):
-    rows = [("The description of this comes later on, see the docs", 30), ("Walks over every open ticket of the queue.", 30)] + [(f"Something of its own number {i}", 1) for i in range(40)]
-    df = spark.createDataFrame([(d,) for d, k in rows for _ in range(k)], "description string")
-    assert fn.templates(df, 10).count() == 1
+def test_templates_by_counts_alone(spark):
+    rows = [("Gives back what f stands for here", 30), ("Walks over every open ticket of the queue.", 3)] + [(f"Something of its own number {'abcdefghij'[i % 10] * (i // 10 + 1)}", 1) for i in range(40)]
+    df = spark.createDataFrame([(fn.template_hash(d, "g"),) for d, k in rows for _ in range(k)] + [(None,)], "doc_hash bigint")
+    assert [r[0] for r in fn.templates(df, 10).collect()] == [fn.template_hash(rows[0][0], "g")]
+    assert fn.templates(df.where("false")).collect() == []
+    assert fn.template_hash("Gets the  total price", "getTotal") == fn.template_hash("gets THE speed price", "getSpeed") != fn.template_hash("Gets the total price", "getSpeed")
 
 
 OWN = "import x from 'y';\n\nexport function {0}(a) {{\n  const {1} = a + {2};\n  if ({1} > {3}) {{ return {0}({1}); }}\n  return {1} * {2};\n}}\n"
