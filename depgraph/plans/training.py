@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depgraph.operators.heavy import distinct_edges, heavy_keys, key_counts, per_key
-from depgraph.operators.snapshots import NODE_COLUMNS, node_changes
+from depgraph.operators.snapshots import NODE_COLUMNS, earlier_keys, node_changes
+from depgraph.sources.shared import kept
 from depgraph.sources.tables import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return node_changes(table(spark, d, "node_snapshots")).select("snapshot_no", "id", "change_kind")
+    """Changes, with the ordinals that the keys got in the deliveries before the last, stored and read again."""
+    snapshots = table(spark, d, "node_snapshots")
+    known = kept(earlier_keys(snapshots), "node-ordinals")
+    return node_changes(snapshots, known).select("snapshot_no", "id", "change_kind")
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -11,8 +11,8 @@ from hypothesis import strategies as hs
 
 from depgraph.operators.bitmaps import Bitmap
 from depgraph.operators.heavy import distinct_edges, heavy_keys, key_counts, per_key
-from depgraph.operators.ordinals import key_dictionary
-from depgraph.operators.snapshots import node_changes, snapshot_changes
+from depgraph.operators.ordinals import buckets_for, key_dictionary
+from depgraph.operators.snapshots import earlier_keys, node_changes, snapshot_changes
 
 SNAP = "snapshot_no int, snapshot_at timestamp, id string, repo_id string, type string, name string, file_path string, language string, line_start int, line_end int, file_hash string, loaded_at timestamp, bucket string, ordinal string, change_kind string"
 T0 = datetime(2026, 1, 1)
@@ -89,6 +89,20 @@ def test_ordinals_persist(spark):
     rows = [snap_row(1, "a", T0), snap_row(2, "b", T0)]
     got = {tuple(x) for x in snapshot_changes(spark.createDataFrame(rows, SNAP), ["name"], known=known, buckets=2).collect()}
     assert got == {(2, "b", "added"), (2, "a", "removed")}
+    d2 = spark.createDataFrame([(k, *v) for k, v in new.items()], "id string, bucket int, ordinal bigint")
+    wider = key_dictionary(more, "id", d2, buckets=8).collect()
+    assert {r["id"]: r["ordinal"] for r in wider} == {k: v[1] for k, v in new.items()} and len({(r["bucket"], r["ordinal"]) for r in wider}) == len(new)
+    assert buckets_for(10) == 256 and buckets_for(600_000_000) == 1024 and buckets_for(10, spark.createDataFrame([("a", 700, 0)], "id string, bucket int, ordinal bigint")) == 1024
+
+
+def test_snapshots_numbered_by_day(spark):
+    day = "snapshot_no date, " + SNAP.split(", ", 1)[1]
+    rows = [snap_row(date(2026, 1, 3), "a", T0), snap_row(date(2026, 1, 9), "b", T0), snap_row(date(2026, 1, 9), "a", T0, name="m")]
+    df = spark.createDataFrame(rows, day)
+    want = {(date(2026, 1, 9), "b", "added"), (date(2026, 1, 9), "a", "changed")}
+    assert {tuple(r) for r in node_changes(df).collect()} == want == {tuple(r) for r in node_changes(df, earlier_keys(df)).collect()}
+    empty = df.where("false")
+    assert node_changes(empty).collect() == [] and earlier_keys(empty).collect() == [] and node_changes(empty, earlier_keys(empty)).collect() == []
 
 
 EDGE = "id string, repo_id string, source_id string, target_id string, n string, key string, key_column string"
