@@ -12,8 +12,10 @@ from depgraph.sources.shared import kept
 
 #: Newton steps at most, and the relative error of a source's tokens at which they end.
 STEPS, TOLERANCE = 40, 1e-9
-#: Parts into which the documents of one source and size are split when their copies are rounded.
-PARTS = 64
+#: Parts into which the documents of one source and size are split when their copies are rounded, at least, and documents for which one more is taken.
+PARTS, PART_ROWS = 64, 1_000_000
+#: Rates are summed as whole numbers of this fraction, so sums don't depend on their order: 10^11 documents fit into a bigint.
+UNIT = 1 << 24
 
 
 def source_name(c: str):
@@ -101,8 +103,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     source or share don't count, of repeated ones the largest share. Empty tables give no rows. Rates are
     those of :func:`balance`; copies are their systematic rounding: in the order of sizes, document i gets
     floor(R_i) - floor(R_(i-1)) copies of the running sum R of rates, so every stretch of sizes has its due
-    and no document more than its repeats. The running sums start from those of small parts (source, size
-    class, part of it by hash), so no source is ever in one task.
+    and no document more than its repeats. Sums are of whole numbers (rates in units of 1 / UNIT), so they are
+    exact. The running sums start from those of small parts (source, size class, part of it by hash, more of
+    them with more documents), so no source is ever in one task.
     """
     counted = with_token_counts(docs.where("doc_id IS NOT NULL").withColumn("source", source_name("source")), "doc_id", "source", folder=folder)
     counted = kept(counted, "mix_counts")
@@ -114,19 +117,19 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     have, scale = {r[0]: float(r[1]) for r in stats}, {r[0]: r[1] / r[2] for r in stats}
     _, aims = total_and_targets(have, share, most, total_tokens)
     tilt = balance(sizes, aims, most, scale)
+    parts = max(PARTS, 1 << (int(sum(r[2] for r in stats)) // PART_ROWS).bit_length())
     spark = docs.sparkSession
     solved = spark.createDataFrame([(s, float(tilt[s]), int(most[s]), float(scale[s])) for s in sorted(aims)], "source string, tilt double, most int, scale double")
     rated = counted.join(F.broadcast(solved), "source", "left")
     rate = F.when((F.col("n_tokens") > 0) & F.col("tilt").isNotNull(), _rate("tilt", "most", "n_tokens", "scale")).otherwise(0.0)
-    rated = rated.withColumn("rate", rate).withColumn("class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) * 8).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    rated = rated.withColumn("rate", rate).withColumn("class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) * 8).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).withColumn("units", F.round(F.col("rate") * UNIT).cast("bigint"))
     part = ["source", "class", "part"]
     before = Window.partitionBy("source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)  # over classes x parts rows at most
-    starts = rated.groupBy(*part).agg(F.sum("rate").alias("r")).withColumn("start", F.coalesce(F.sum("r").over(before), F.lit(0.0))).drop("r")
+    starts = rated.groupBy(*part).agg(F.sum("units").alias("r")).withColumn("start", F.coalesce(F.sum("r").over(before), F.lit(0))).drop("r")
     here = Window.partitionBy(*part).orderBy("n_tokens", F.xxhash64("doc_id", F.lit(7)), "doc_id")
     run = rated.join(starts.withColumnsRenamed({"source": "s2", "class": "c2", "part": "p2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2")) & (F.col("part") == F.col("p2")))
-    upto = F.col("start") + F.sum("rate").over(here.rowsBetween(Window.unboundedPreceding, 0)) + 0.5
-    prior = F.col("start") + F.coalesce(F.sum("rate").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + 0.5
-    copies = F.greatest(F.lit(0), F.least(F.floor(upto + 1e-9) - F.floor(prior + 1e-9), F.coalesce("most", F.lit(0)))).cast("int")
+    upto = F.col("start") + F.sum("units").over(here.rowsBetween(Window.unboundedPreceding, 0)) + UNIT // 2
+    copies = F.greatest(F.lit(0), F.least(F.shiftright(upto, UNIT.bit_length() - 1) - F.shiftright(upto - F.col("units"), UNIT.bit_length() - 1), F.coalesce("most", F.lit(0)))).cast("int")
     return run.withColumn("copies", copies).select("doc_id", "source", "n_tokens", "rate", "copies")
 
 
