@@ -70,7 +70,7 @@ PatItem = '**' NAME | ( [ '-' ] NUM | STR { STR } | 'None' | 'True' | 'False' |
 C = r"""
 File = { External } EOF ;
 Frag = { External | Stmt } EOF ;
-External = Specs Decl FuncBody | Declaration | ';' | Asm ';' | MACRO [ '(' [ Args ] ')' ] [ ';' ] | StaticAssert ;
+External = Specs FuncDecl FuncBody | Declaration | ';' | Asm ';' | MACRO [ '(' [ Args ] ')' ] [ ';' ] | StaticAssert ;
 StaticAssert = ( '_Static_assert' | 'static_assert' ) '(' Cond [ ',' STR ] ')' ';' ;
 Asm = ASM { 'volatile' | 'goto' | 'inline' } '(' { STR | ':' | ',' | '(' Expr ')' | '[' NAME ']' | NAME } ')' ;
 Declaration = Specs [ InitDecl { ',' InitDecl } ] ';' ;
@@ -85,6 +85,7 @@ FieldDecl = [ Decl ] ':' Cond | Decl ;
 Enums = '{' Enum { ',' Enum } [ ',' ] '}' ;
 Enum = NAME { Attr } [ '=' Cond ] ;
 Decl = { '*' { Qual } } ( NAME@m | '(' { Attr } Decl ')' ) { '[' { QUAL } [ Cond | '*' ] ']' | '(' [ ParamList ] ')' } { Attr | Asm } ;
+FuncDecl = { '*' { Qual } } ( NAME@m { '[' { QUAL } [ Cond | '*' ] ']' } '(' [ ParamList ] ')' | '(' { Attr } Decl ')' ) { '[' { QUAL } [ Cond | '*' ] ']' | '(' [ ParamList ] ')' } { Attr | Asm } ;
 Abstract = '*' { Qual } [ Abstract ] | '(' [ Abstract ] ')' { AbsSuffix } | AbsSuffix { AbsSuffix } ;
 AbsSuffix = '[' { QUAL } [ Cond | '*' ] ']' | '(' [ ParamList ] ')' ;
 Type = Specs [ Abstract ] ;

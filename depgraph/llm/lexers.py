@@ -535,6 +535,35 @@ _TS_SOFT = "abstract accessor asserts constructor declare implements infer inter
 class _Script(Language):
     """Substitutions inside template literals are checked as expressions of their own."""
 
+    def valid(self, text):
+        """Whether a dialect accepts the text; in scripts, also with HTML-like comments. A slash behind the head of a statement begins a regular expression."""
+        text = text.removeprefix("\ufeff")
+        if self.grammar.accepts(self.tokens(text)):
+            return True
+        heads = self._regex_behind_heads(text)
+        if heads != text and self.grammar.accepts(self.tokens(heads)):
+            return True
+        if self.name == "javascript" and ("<!--" in text or "-->" in text):
+            plain = re.sub(r"(?m)<!--|^(?:\s|/\*(?:[^*\n]|\*(?!/))*\*/)*-->", "//", heads)
+            return plain != heads and self.grammar.accepts(self.tokens(plain), ["Script"])
+        return False
+
+    def _regex_behind_heads(self, text):
+        """The text with a ``!`` before each slash that follows the closing parenthesis of if, while, for or with, so that it's read as a regular expression."""
+        at, stack, last, behind = 0, [], "", False
+        while True:
+            for m in self.pattern.finditer(text, at):
+                t = m[1]
+                if behind and t[:1] == "/":
+                    text, at, behind = text[: m.start(1)] + "!" + text[m.start(1) :], m.start(1), False
+                    break
+                if t == "(":
+                    stack.append(last in ("if", "while", "for", "with"))
+                behind = t == ")" and bool(stack) and stack.pop() or behind and t.isspace()
+                last = last if t.isspace() else t
+            else:
+                return text
+
     def _classify(self, text):
         r = super()._classify(text)
         if r == self.grammar.ids["TPL"] and "${" in text:

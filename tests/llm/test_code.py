@@ -89,6 +89,18 @@ def test_syntax_over_tables(spark):
     assert syntax.check_syntax(spark.createDataFrame([], FILE)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "language, text, valid",
+    [
+        ("javascript", "if (a) /x/.test(b)", True), ("javascript", "if (a) /x/.test(b); while (c)\n /[)]/g.exec(d)\nfoo();", True), ("javascript", "x = f(a) / b / c;", True), ("javascript", "if (a) /x", False),
+        ("javascript", "<!-- x\nvar a = 1;\n--> y\nvar b;", True), ("javascript", "<!-- x\nimport a from 'b';", False), ("javascript", "var s = '<!--';\nvar t = ;", False), ("typescript", "if (a) /x/.test(b)", True),
+        ("c", "class A { public: int x; };", False), ("c", "namespace a { int x; }", False), ("c", "int x { }", False), ("c", "TEST(foo) { int a; }", True), ("c", "int (*g(int a))(int) { return 0; }", True), ("c", "static int *(f(int a)) { return 0; }", True),
+    ],
+)
+def test_heads_comments_and_declarators(language, text, valid):
+    assert syntax.is_valid(text, language) is valid
+
+
 DOCUMENTED = {
     "python": ("# Adds two small numbers and returns their sum.\n@cached(1)\ndef add(a, b):\n    return a + b\n\nclass A:\n    def other(self):\n        '''Walks over every open ticket of the queue.'''\n        return 1\n\n    # todo\n    def bare(self): pass\n", {"add", "other"}),
     "javascript": ("/**\n * Adds two small numbers and returns their sum.\n * @param a the first of the two given numbers\n */\nexport function add(a, b) { return a + b }\nclass A {\n  /** @inheritdoc */\n  bare() {}\n  // Walks over every open ticket of the queue.\n  other() {}\n}\n", {"add", "other"}),
