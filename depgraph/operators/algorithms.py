@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depgraph.functions.exprs import distance, path_cost
+from depgraph.operators import graph as gr
 from depgraph.operators.graph import Graph, critical_by_degree, within
+from depgraph.operators.skew import first_per_group, hot_keys, spread_join
 from depgraph.sources.shared import checkpointed
 
 #: Above so many vertices, centrality is by degree and cycles are skipped; so many pivots stand for all sources at most.
@@ -36,7 +39,7 @@ def shortest_paths(graph: Graph, sources: DataFrame, targets: DataFrame | None =
         step = best.where("new").join(arcs, F.col("target") == F.col("at"))
         step = step.select("source", F.col("next").alias("target"), F.struct((F.col("p.cost") + F.col("step")).alias("cost"), (F.col("p.length") + 1).alias("length"), F.concat("p.path", F.array("next")).alias("path")).alias("p"), F.lit(True).alias("fresh"))
         merged = best.select("source", "target", "p", F.lit(False).alias("fresh")).unionByName(step).groupBy("source", "target").agg(F.min("p").alias("p"), F.min(F.when(~F.col("fresh"), F.col("p"))).alias("old"))
-        best = checkpointed(merged.select("source", "target", "p", (F.col("old").isNull() | (F.col("p") < F.col("old"))).alias("new")))
+        best = checkpointed(merged.select("source", "target", "p", (F.col("old").isNull() | (F.col("p") < F.col("old"))).alias("new")), best)
     r = best if targets is None else best.join(targets.select(F.col("id").alias("target")), "target", "left_semi")
     return r.select("source", "target", "p.cost", "p.length", "p.path")
 
@@ -45,36 +48,72 @@ def connected_components(graph: Graph) -> DataFrame:
     """(id, component) of every vertex, directions ignored; a component is named by its least id.
 
     Labels spread to neighbours, and each round also takes over the label of one's label (pointer jumping), so
-    rounds grow with the logarithm of a component's width.
+    rounds grow with the logarithm of a component's width. Vertices with many arcs and labels that many
+    vertices have are joined by broadcast (at most HOT of them), so no task gets all rows of one.
     """
     both = graph.arcs.select("src", "dst").unionByName(graph.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     both = checkpointed(both)
+    hubs = checkpointed(hot_keys(both, "src"))
     labels = checkpointed(graph.vertices.select("id", F.col("id").alias("component")))
     while True:
-        near = both.join(labels, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("dst"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("beyond"))
-        step = checkpointed(step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("beyond", "next")).alias("component"), (F.least("next", F.coalesce("beyond", "next")) < F.col("component")).alias("moved")))
-        labels = step.select("id", "component")
+        near = spread_join(both, labels.select(F.col("id").alias("src"), "component"), "src", hubs).groupBy("dst").agg(F.min("component").alias("near"))
+        step = checkpointed(labels.join(near, F.col("id") == F.col("dst"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next")))
+        common = hot_keys(step, "next")
+        jump = spread_join(step, labels.select(F.col("id").alias("next"), F.col("component").alias("beyond")), "next", common)
+        label = F.least("next", F.coalesce("beyond", "next"))
+        step = checkpointed(jump.select("id", label.alias("label"), (label < F.col("component")).alias("moved")))
+        labels = step.select("id", F.col("label").alias("component"))
         if step.where("moved").isEmpty():
             return labels
 
 
-def cycles(graph: Graph, limit: int = 20, max_vertices: int = SMALL_GRAPH, max_length: int | None = None) -> DataFrame | None:
-    """The ``limit`` shortest elementary cycles: (length, nodes), each from its least id on, ties in order of ids; None above max_vertices.
-
-    First what lies on no cycle is trimmed away. Then simple paths grow one arc a round from every vertex
-    over larger ids only, so each cycle comes up once, at its length; no round follows once there are enough.
-    """
-    if graph.vertices.limit(max_vertices + 1).count() > max_vertices:
-        return None
-    arcs = checkpointed(graph.arcs.select("src", "dst").where("src <> dst").distinct())
+def _on_cycles(arcs: DataFrame) -> tuple[DataFrame, int]:
+    """The arcs between vertices that have arcs in and out among what is left, until nothing more is trimmed, and their number."""
+    arcs = checkpointed(arcs.where("src <> dst").distinct())
     n = arcs.count()
     while n:
         trimmed = checkpointed(within(arcs, arcs.select(F.col("src").alias("id")).intersect(arcs.select(F.col("dst").alias("id")))))
         if (m := trimmed.count()) == n:
             break
         arcs, n = trimmed, m
+    return arcs, n
+
+
+def cycles_by_repo(graph: Graph, limit: int = 20, max_vertices: int = SMALL_GRAPH) -> DataFrame:
+    """(repo_id, place, length, nodes): the cycles of :func:`cycles` in every repository of at most max_vertices vertices, each repository a graph of its own, all of them at once.
+
+    A repository takes part in no further round once it has enough.
+    """
+    v = graph.vertices.select("id", "repo_id")
+    small = v.groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_vertices).select("repo_id")
+    v = v.join(small, "repo_id", "left_semi")
+    own = graph.arcs.join(v.withColumnsRenamed({"id": "src", "repo_id": "r1"}), "src").join(v.withColumnsRenamed({"id": "dst", "repo_id": "r2"}), "dst").where("r1 = r2")
+    arcs, n = _on_cycles(own.select("src", "dst"))
+    found = arcs.sparkSession.createDataFrame([], "repo_id string, length int, nodes array<string>")
+    paths, length = arcs.where("src < dst").join(v.withColumnRenamed("id", "src"), "src").select("repo_id", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes")), 2
+    while n:
+        ends = arcs.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.lit(True).alias("closes"))
+        paths = checkpointed(paths.join(ends, ["last", "first"], "left"))
+        if paths.isEmpty():
+            break
+        closed = first_per_group(paths.where("closes").select("repo_id", F.lit(length).alias("length"), "nodes"), ["repo_id"], ["nodes"], limit, ["nodes"])
+        found = checkpointed(found.unionByName(closed.drop("place")))
+        enough = found.groupBy("repo_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("repo_id")
+        grown = paths.join(enough, "repo_id", "left_anti").join(arcs, F.col("last") == F.col("src")).where((F.col("dst") > F.col("first")) & ~F.array_contains("nodes", F.col("dst")))
+        paths = grown.select("repo_id", "first", F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        length += 1
+    return first_per_group(found, ["repo_id"], ["length", "nodes"], limit, ["nodes"]).select("repo_id", "place", "length", "nodes")
+
+
+def cycles(graph: Graph, limit: int = 20, max_vertices: int | None = None, max_length: int | None = None) -> DataFrame | None:
+    """The ``limit`` shortest elementary cycles: (length, nodes), each from its least id on, ties in order of ids; with max_vertices, None above it.
+
+    First what lies on no cycle is trimmed away. Then simple paths grow one arc a round from every vertex
+    over larger ids only, so each cycle comes up once, at its length; no round follows once there are enough.
+    """
+    if max_vertices is not None and graph.vertices.limit(max_vertices + 1).count() > max_vertices:
+        return None
+    arcs, n = _on_cycles(graph.arcs.select("src", "dst"))
     found = arcs.sparkSession.createDataFrame([], "length int, nodes array<string>")
     paths, have, length = arcs.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes")), 0, 2
     while have < limit and (max_length is None or length <= max_length):
@@ -166,7 +205,49 @@ def critical_nodes(graph: Graph, top: int = 20, max_vertices: int = SMALL_GRAPH,
     return r.orderBy(F.desc("score"), "id").limit(top).select("id", "name", "type", "score", "in_degree", "out_degree")
 
 
-def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON) -> DataFrame:
+def _by_repo():
+    def run(key: tuple, arcs: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([arcs["src"].to_numpy(object), arcs["dst"].to_numpy(object)]))
+        index = {v: i for i, v in enumerate(ids)}
+        block, blocks, first = int(arcs["block"].iat[0]), int(arcs["blocks"].iat[0]), set(arcs["pivots"].iat[0])
+        chosen = [i for i, v in enumerate(ids) if int(hashlib.md5(v.encode()).hexdigest()[:8], 16) % blocks == block]
+        chosen = [i for i in chosen if not first or ids[i] in first]
+        run = _brandes(len(ids), arcs["src"].map(index).to_numpy(np.int64), arcs["dst"].map(index).to_numpy(np.int64), arcs["d"].to_numpy(np.int64), ids)
+        parts = pd.concat([*run(iter([pd.DataFrame({"pivot": chosen})])), pd.DataFrame({"id": [], "part": []})])
+        return parts.assign(repo_id=key[0])[["repo_id", "id", "part"]].astype({"repo_id": object, "id": object, "part": float})
+
+    return run
+
+
+def critical_by_repo(graph: Graph, top: int = 20, max_vertices: int = SMALL_GRAPH, pivots: int = PIVOTS, blocks: int = 8) -> DataFrame:
+    """(repo_id, id, name, type, score, method, in_degree, out_degree): the ``top`` vertices of every repository, each repository a graph of its own.
+
+    The rule of size is the one of a single graph: up to max_vertices the score is betweenness (from all
+    vertices, or from ``pivots`` of them), above it the degree; ``method`` says which. The graphs of small
+    repositories go to tasks with their arcs, ``blocks`` tasks with a part of the pivots each; their size is
+    bounded by max_vertices. Large ones are aggregated.
+    """
+    v = graph.vertices
+    sizes = v.groupBy("repo_id").agg(F.count("*").alias("n")).withColumn("small", F.col("n") <= max_vertices)
+    own = graph.arcs.join(v.select(F.col("id").alias("src"), "repo_id"), "src").join(v.select(F.col("id").alias("dst"), F.col("repo_id").alias("r2")), "dst").where("repo_id = r2").drop("r2")
+    own = checkpointed(own.join(sizes, "repo_id"))
+    degree = gr.degrees(Graph(v, own.select("src", "dst", "relation", "confidence", "weight", "seq")))
+    # pivots of repositories with more vertices than pivots: at most ``pivots`` of each
+    ranked = first_per_group(v.join(sizes.where(f"small AND n > {pivots}"), "repo_id").select("repo_id", "id", F.md5("id").alias("h")), ["repo_id"], ["h", "id"], pivots, ["id"])
+    chosen = ranked.groupBy("repo_id").agg(F.collect_list("id").alias("pivots"))
+    arcs = own.where("small AND src <> dst").select("repo_id", "src", "dst", distance().alias("d")).join(chosen, "repo_id", "left").withColumn("pivots", F.coalesce("pivots", F.array().cast("array<string>")))
+    arcs = arcs.withColumns({"blocks": F.lit(blocks), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    parts = arcs.groupBy("repo_id", "block").applyInPandas(_by_repo(), "repo_id string, id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
+    n = F.col("n").cast("double")
+    scale = F.when(n > 2, F.greatest(n / F.lit(float(pivots)), F.lit(1.0)) / ((n - 1) * (n - 2))).otherwise(0.0)
+    d = degree.join(sizes, "repo_id").join(parts, "id", "left")
+    score = F.when(F.col("small"), F.round(F.coalesce("part", F.lit(0.0)) * scale, 6)).otherwise((F.col("in_plain") + F.col("out_plain")).cast("double"))
+    d = d.withColumns({"score": score, "method": F.when(F.col("small"), "betweenness").otherwise("degree")})
+    best = first_per_group(d, ["repo_id"], [F.desc("score"), "id"], top, ["id"])
+    return best.select("repo_id", "id", "name", "type", "score", "method", "in_degree", "out_degree")
+
+
+def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON, by: str | None = None) -> DataFrame:
     """(id, community): groups with more weight inside than chance would give; a community is named by its least id.
 
     Louvain's local moving, done for all vertices at once: in a round every vertex looks at its neighbours'
@@ -175,15 +256,24 @@ def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON) -> Da
     vertex wants to move, or when PATIENCE rounds have not raised modularity by ``epsilon``; its best state
     counts, and the last level is the one that merges nothing. Reciprocal arcs count
     once, with the weight of the later one. Communities smaller than min_size are left out. A round is a join
-    and an aggregation, checkpointed; nothing is collected but sums.
+    and an aggregation, checkpointed; nothing is collected but sums. With ``by``, a column of the vertices,
+    every group of vertices is a graph of its own (arcs between groups are left out), all of them at once:
+    weights are divided by their sum in the group. Vertices with many arcs are joined by broadcast.
     """
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
     und = graph.arcs.where("src <> dst").groupBy(a.alias("a"), b.alias("b")).agg(F.max_by("weight", "seq").alias("w"))
+    if by:
+        group = graph.vertices.select("id", F.col(by).alias("group"))
+        und = und.join(group.withColumnsRenamed({"id": "a", "group": "ga"}), "a").join(group.withColumnsRenamed({"id": "b", "group": "gb"}), "b").where("ga = gb")
+        und = checkpointed(und.select("a", "b", "w", "ga"))
+        und = und.join(und.groupBy("ga").agg((2 * F.sum("w")).alias("m")), "ga").select("a", "b", (F.col("w") / F.col("m")).alias("w"))
     links = checkpointed(und.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(und.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
     member = graph.vertices.select("id", F.col("id").alias("node"))
     total = links.agg(F.sum("w")).first()[0]
     if not total:
         return member.select("id", F.col("id").alias("community")).where(F.lit(min_size <= 1))
+    total = 1.0 if by else total  # of one group
+    hubs = checkpointed(hot_keys(links, "v"))
     member = checkpointed(member)
     level = 0
     while True:
@@ -191,12 +281,12 @@ def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON) -> Da
         best_q, best_state, mark, since, r = -2.0, state, -2.0, 0, 0
         while True:
             sizes = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            to = links.where("u <> v").join(state.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u", "d").agg(F.sum("w").alias("w"))
+            to = spread_join(links.where("u <> v"), state.select(F.col("u").alias("v"), F.col("c").alias("d")), "v", hubs).groupBy("u", "d").agg(F.sum("w").alias("w"))
             stay = state.select("u", F.col("c").alias("d"), F.lit(0.0).alias("w"))
             options = to.unionByName(stay).groupBy("u", "d").agg(F.sum("w").alias("w")).join(state, "u").join(sizes.withColumnRenamed("c", "d"), "d")
             here = F.col("d") == F.col("c")
             tot = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - F.col("k") * tot / total, 9)
+            gain = F.round(F.col("w") - F.col("k") * tot / total, 12 if by else 9)
             # the part of the state's modularity: what the vertex has inside, less what chance would give it there
             part = F.when(here, F.col("w") + F.col("loop") - F.col("k") * F.col("tot") / total)
             best = options.groupBy("u").agg(F.max(F.struct(gain.alias("gain"), here.alias("here"), F.col("d").alias("d"))).alias("best"), F.max(part).alias("part"))
@@ -216,6 +306,7 @@ def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON) -> Da
         member = checkpointed(member.join(best_state.select(F.col("u").alias("node"), "c"), "node", "left").select("id", F.coalesce("c", "node").alias("node")))
         new = links.join(best_state.select("u", F.col("c").alias("cu")), "u").join(best_state.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
         links = checkpointed(new.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        hubs = checkpointed(hot_keys(links, "v"))
         level += 1
     named = member.groupBy("node").agg(F.min("id").alias("community"), F.count("*").alias("size")).where(F.col("size") >= min_size)
     return member.join(named, "node").select("id", "community")
@@ -236,10 +327,14 @@ def modularity(graph: Graph, groups: DataFrame) -> float:
 
 
 def community_report(graph: Graph, groups: DataFrame, show_nodes: int = 50, show_files: int = 20) -> DataFrame:
-    """Communities from the largest on: size, label of the three shortest names, first files and nodes."""
+    """Communities: size, label of the three shortest names, first files and nodes. Only the rows that are shown are ever collected into a list."""
     m = groups.join(graph.vertices, "id")
-    names = F.slice(F.array_sort(F.collect_list(F.struct(F.length("name").alias("n"), "name"))), 1, 3)
-    return m.groupBy("community").agg(
-        F.count("*").alias("size"), F.array_join(F.transform(names, lambda x: x["name"]), " / ").alias("label"),
-        F.slice(F.array_sort(F.collect_set("file_path")), 1, show_files).alias("files"), F.slice(F.array_sort(F.collect_list("id")), 1, show_nodes).alias("nodes"),
-    )
+    sizes = m.groupBy("community").agg(F.count("*").alias("size"))
+    shown = lambda rows, *order, k: first_per_group(rows, ["community"], order, k, rows.columns).groupBy("community")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c])
+    label = shown(m.where("name IS NOT NULL").select("community", "id", "name", F.length("name").alias("n")), "n", "name", "id", k=3).agg(F.array_join(listed("name"), " / ").alias("label"))
+    files = shown(m.where("file_path IS NOT NULL").select("community", "file_path").distinct(), "file_path", k=show_files).agg(listed("file_path").alias("files"))
+    nodes = shown(m.select("community", "id"), "id", k=show_nodes).agg(listed("id").alias("nodes"))
+    none = F.array().cast("array<string>")
+    r = sizes.join(label, "community", "left").join(files, "community", "left").join(nodes, "community", "left")
+    return r.select("community", "size", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("files", none).alias("files"), "nodes")

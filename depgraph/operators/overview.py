@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depgraph.operators import algorithms as al
 from depgraph.operators import graph as gr
 from depgraph.operators import store as st
+from depgraph.operators.skew import first_per_group
 
 #: What an overview keeps of each list.
-CRITICAL, ENTRIES, GODS, CYCLES, LEAST_COMMUNITY = 20, 20, 10, 20, 3
+CRITICAL, ENTRIES, GODS, CYCLES, LEAST_COMMUNITY, COMMUNITIES = 20, 20, 10, 20, 3, 30
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -22,7 +24,7 @@ def _rows(df: DataFrame) -> list[dict]:
 def overview(graph: gr.Graph, nodes: DataFrame, edges: DataFrame) -> dict:
     """Counts, critical nodes, entry points, god objects, cycles and communities of one graph; every list is short by definition."""
     count = lambda df, c: {r[c]: r["n"] for r in _rows(st.counts_by(df, c)) if r[c] is not None}
-    found = al.cycles(graph, CYCLES)
+    found = al.cycles(graph, CYCLES, al.SMALL_GRAPH)
     cyc = {"found": None, "count": 0, "cycles": [], "skipped": True, "reason": f"more than {al.SMALL_GRAPH} nodes"} if found is None else None
     if cyc is None:
         rows = _rows(found)
@@ -34,15 +36,77 @@ def overview(graph: gr.Graph, nodes: DataFrame, edges: DataFrame) -> dict:
         "entry_points": _rows(gr.entry_points(graph).orderBy(F.desc("out_degree"), "id").limit(ENTRIES)),
         "god_objects": _rows(gr.god_objects(graph).orderBy(F.desc("coupling_score"), "id").limit(GODS)),
         "cycles": cyc,
-        "communities": _rows(al.community_report(graph, groups).orderBy(F.desc("size"), "community").limit(30).select("community", "size", "label", "files")),
+        "communities": _rows(al.community_report(graph, groups).orderBy(F.desc("size"), "community").limit(COMMUNITIES).select("community", "size", "label", "files")),
     }
 
 
+def overviews(graph: gr.Graph, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, metric, value_json): the overview of every repository that has nodes, each a graph of its own, computed for all of them at once.
+
+    The lists are the first rows of each repository, so nothing unbounded is collected anywhere. Cycles of
+    repositories with more than SMALL_GRAPH nodes are skipped and their critical nodes go by degree, as in
+    :func:`overview`.
+    """
+    v = graph.vertices
+    own = graph.arcs.join(v.select(F.col("id").alias("src"), F.col("repo_id").alias("r1")), "src").join(v.select(F.col("id").alias("dst"), F.col("repo_id").alias("r2")), "dst").where("r1 = r2")
+    g = gr.Graph(v, own.select("src", "dst", "relation", "confidence", "weight", "seq")).stored("overviews")
+    item = lambda *c: F.struct("place", *c)
+
+    def listed(rows, name, *columns):
+        each = rows.groupBy("repo_id").agg(F.array_sort(F.collect_list(item(*columns))).alias("x"))  # a few rows per repository
+        return each.select("repo_id", F.transform("x", lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
+
+    def first(rows, k, *order):
+        return first_per_group(rows.join(v.select("id", "repo_id"), "id"), ["repo_id"], order, k, ["id"])
+
+    def counted(rows, column, name):
+        n = rows.where(F.col(column).isNotNull()).groupBy("repo_id", column).agg(F.count("*").alias("n"))
+        return n.groupBy("repo_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column), "n")))).alias(name))
+
+    total = v.groupBy("repo_id").agg(F.count("*").alias("n_vertices"))
+    stats = nodes.groupBy("repo_id").agg(F.count("*").alias("node_count")).join(edges.groupBy("repo_id").agg(F.count("*").alias("edge_count")), "repo_id", "left")
+    for rows, column, name in ((nodes, "language", "languages"), (nodes, "type", "node_types"), (edges, "relation", "relations")):
+        stats = stats.join(counted(rows, column, name), "repo_id", "left")
+    empty = F.create_map().cast("map<string,bigint>")
+    stats = stats.select("repo_id", F.struct(F.col("node_count"), F.coalesce("edge_count", F.lit(0)).alias("edge_count"), *(F.coalesce(c, empty).alias(c) for c in ("languages", "node_types", "relations"))).alias("stats"))
+    critical = al.critical_by_repo(g, CRITICAL)
+    critical = critical.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("score"), "id")))  # CRITICAL rows each
+    entries = first(gr.entry_points(g), ENTRIES, F.desc("out_degree"), "id")
+    gods = first(gr.god_objects(g), GODS, F.desc("coupling_score"), "id")
+    cyc = al.cycles_by_repo(g, CYCLES)
+    groups = al.communities(g, LEAST_COMMUNITY, by="repo_id")
+    shown = al.community_report(g, groups).join(v.select(F.col("id").alias("community"), "repo_id"), "community")
+    shown = first_per_group(shown, ["repo_id"], [F.desc("size"), "community"], COMMUNITIES, ["community"])
+    out = stats.join(total, "repo_id", "left")
+    parts = {
+        "critical": listed(critical, "critical", "id", "name", "type", "score", "method", "in_degree", "out_degree"), "entry_points": listed(entries, "entry_points", "id", "name", "type", "file_path", "out_degree"),
+        "god_objects": listed(gods, "god_objects", "id", "name", "in_degree", "out_degree", "coupling_score", "warning"), "cycle_list": listed(cyc, "cycle_list", "length", "nodes"), "communities": listed(shown, "communities", "community", "size", "label", "files"),
+    }
+    for name, part in parts.items():
+        out = out.join(part, "repo_id", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(part.dtypes)[name])))
+    skipped = F.col("n_vertices") > al.SMALL_GRAPH
+    n = F.size("cycle_list")
+    cycles = F.struct(F.when(~skipped, n > 0).alias("found"), n.alias("count"), F.col("cycle_list").alias("cycles"), F.when(skipped, F.lit(True)).alias("skipped"), F.when(skipped, F.lit(f"more than {al.SMALL_GRAPH} nodes")).alias("reason"))
+    value = F.to_json(F.struct("stats", "critical", "entry_points", "god_objects", cycles.alias("cycles"), "communities"))
+    return out.select("repo_id", F.lit("overview").alias("metric"), value.alias("value_json"))
+
+
 def metrics_table(spark, repo: str, value: dict) -> DataFrame:
     """repo_metrics: one row with the overview as JSON."""
     return spark.createDataFrame([(repo, "overview", json.dumps(value, sort_keys=True, default=str))], "repo_id string, metric string, value_json string").withColumn("computed_at", F.current_timestamp())
 
 
+def reports(metrics: DataFrame) -> DataFrame:
+    """(repo_id, line, text): the Markdown report of every overview in repo_metrics, a row per line."""
+
+    @F.pandas_udf("array<string>")
+    def lines(repo: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([report(r, json.loads(v)).split("\n") for r, v in zip(repo, value)])
+
+    rows = metrics.where("metric = 'overview'").select("repo_id", F.posexplode(lines("repo_id", "value_json")).alias("line", "text"))
+    return rows.select("repo_id", F.col("line").cast("bigint").alias("line"), "text")
+
+
 def report(repo: str, value: dict, top: int = 15, max_communities: int = 10) -> str:
     """The overview as Markdown."""
     s = value["stats"]

@@ -383,7 +383,14 @@ def shortest_paths_code(spark, d):
 
 @query()
 def critical_nodes(spark, d):
-    return al.critical_nodes(_graph(spark, d).stored("code"))
+    """Of every repository, the vertices that matter most, each repository a graph of its own."""
+    return al.critical_by_repo(_graph(spark, d)).select("repo_id", "id", "score", "method", "in_degree", "out_degree")
+
+
+@query()
+def cycles_code(spark, d):
+    """The twenty shortest cycles of the whole code graph; enumerating simple paths in SQL is too slow."""
+    return al.cycles(_graph(spark, d), 20).select("length", F.array_join("nodes", ">").alias("nodes"))
 
 
 @query(f"""WITH RECURSIVE {NE}, {ARCS.format(filter="AND relation IN ('inherits', 'method')")}, b AS (SELECT src, dst FROM arcs WHERE src <> dst UNION SELECT dst, src FROM arcs WHERE src <> dst), w(id, r) AS (SELECT id, id FROM n UNION SELECT w.id, b.dst FROM w JOIN b ON b.src = w.r) SELECT id, min(r) AS component FROM w GROUP BY 1""")
@@ -475,16 +482,12 @@ def extract_edges(spark, d):
 
 @query()
 def overview_cached(spark, d):
-    """The overview of the trade graph as it is kept, one row."""
-    g = lenses.trade(spark, d).stored("overview")
-    edges = g.arcs.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "relation")
-    return ov.metrics_table(spark, "trade", ov.overview(g, g.vertices, edges)).select("repo_id", "metric", "value_json")
+    """The overview of every repository as it is kept."""
+    g = _graph(spark, d).stored("overview")
+    return ov.overviews(g, _nodes(spark, d), _edges(spark, d))
 
 
 @query()
 def report_markdown(spark, d):
-    """The report on the trade graph, a row per line."""
-    g = lenses.trade(spark, d).stored("report")
-    edges = g.arcs.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "relation")
-    text = ov.report("trade", ov.overview(g, g.vertices, edges))
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line bigint, text string")
+    """The report on every repository, a row per line."""
+    return ov.reports(kept(overview_cached(spark, d), "overviews"))

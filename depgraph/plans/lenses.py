@@ -24,11 +24,31 @@ def trade(spark: SparkSession, d: str) -> Graph:
     return Graph(vertices, arcs.withColumn("weight", weight()).select("src", "dst", "relation", "confidence", "weight", "seq"))
 
 
+#: Stretches of time into which rows are split to find what follows each.
+STRETCHES = 10_000
+
+
+def following(rows: DataFrame, time: str, order: str, value: str) -> DataFrame:
+    """rows plus ``next``: the value of the row that follows by time and order.
+
+    Time is split into at most STRETCHES stretches, each sorted by itself; the last row of one looks at the
+    first row of the next that has any, of which there are at most STRETCHES.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    width = max(1, ((high or 0) - (low or 0)) // (STRETCHES - 1) + 1)
+    cut = rows.withColumn("stretch", F.coalesce(F.floor((at - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
+    here = cut.withColumn("next", F.lead(F.struct(value)).over(Window.partitionBy("stretch").orderBy(time, order)))
+    firsts = cut.groupBy("stretch").agg(F.min_by(F.struct(value), F.struct(time, order)).alias("first"))
+    behind = firsts.select("stretch", F.lead("first").over(Window.orderBy("stretch")).alias("behind"))
+    both = here.join(F.broadcast(behind), "stretch")
+    return both.withColumn("next", F.coalesce("next", "behind")[value]).drop("stretch", "behind")
+
+
 def handoff(spark: SparkSession, d: str) -> Graph:
     """Users; an arc goes from the user of an error to the user of the next event."""
     events = table(spark, d, "events")
-    following = F.lead("user_id").over(Window.orderBy("ts", "event_id"))
-    pairs = events.select("event_type", "user_id", following.alias("next"), "event_id").where("event_type = 'error' AND next IS NOT NULL AND next <> user_id")
+    pairs = following(events, "ts", "event_id", "user_id").where("event_type = 'error' AND next IS NOT NULL AND next <> user_id")
     name = lambda c: F.concat(F.lit("user:"), F.col(c))
     arcs = pairs.groupBy(name("user_id").alias("src"), name("next").alias("dst")).agg(F.max("event_id").alias("seq"))
     vertices = events.select(name("user_id").alias("id")).distinct().select("id", F.lit("handoff").alias("repo_id"), F.lit("class").alias("type"), F.col("id").alias("name"), F.lit("events").alias("file_path"), F.lit("none").alias("language"))

@@ -26,9 +26,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder, for results that loops replace step by step."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def checkpointed(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """df written to the shared folder and read again, for results that loops replace step by step.
+
+    A checkpoint of Spark's own hands the estimated size of a result on to the next step, where joins multiply
+    it, until planning takes longer than running; files have their real size. ``replaces``, an earlier result of
+    this function that nothing needs any more, is deleted.
+    """
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step_folder = path
+    if replaces is not None:
+        drop(df.sparkSession, getattr(replaces, "_step_folder", None))
+    return out
+
+
+def drop(spark: SparkSession, folder: str | None) -> None:
+    """Delete a folder that this module wrote."""
+    if folder and folder.startswith(shared_folder(spark)):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 """Queries over the whole code graph."""
 
 import heapq
+import json
 import os
 
 import pytest
@@ -42,3 +43,91 @@ def test_paths_over_the_code_graph(spark):
                 for dst, c in arcs.get(path[-1], []):
                     heapq.heappush(heap, (cost + c, length + 1, [*path, dst]))
     assert {(r["source"], r["target"]): (r["cost"], r["length"], r["path"]) for r in catalogue.QUERIES["shortest_paths_code"](spark, DATA).collect()} == want
+
+
+def own_arcs(spark):
+    """Arcs within each repository: {repo: (vertices, {src: [(dst, distance)]})}."""
+    from depgraph.functions.exprs import distance
+
+    g = codegraph._graph(spark, DATA)
+    repo = {r["id"]: r["repo_id"] for r in g.vertices.collect()}
+    out = {}
+    for v, r in repo.items():
+        out.setdefault(r, (set(), {}))[0].add(v)
+    for r in g.arcs.select("src", "dst", distance().alias("d")).collect():
+        if repo[r["src"]] == repo[r["dst"]] and r["src"] != r["dst"]:
+            out[repo[r["src"]]][1].setdefault(r["src"], []).append((r["dst"], r["d"]))
+    return out
+
+
+def all_shortest(arcs, s):
+    """Every cheapest path from s, by target."""
+    best, todo = {s: (0, [[s]])}, [(0, [s])]
+    heapq.heapify(todo)
+    while todo:
+        cost, path = heapq.heappop(todo)
+        for dst, c in arcs.get(path[-1], []):
+            if dst in path:
+                continue
+            old = best.get(dst)
+            if old is None or cost + c < old[0]:
+                best[dst] = (cost + c, [[*path, dst]])
+            elif cost + c == old[0]:
+                best[dst][1].append([*path, dst])
+            else:
+                continue
+            heapq.heappush(todo, (cost + c, [*path, dst]))
+    return best
+
+
+def test_critical_nodes_of_every_repository(spark):
+    want = []
+    for repo, (ids, arcs) in own_arcs(spark).items():
+        score = dict.fromkeys(ids, 0.0)
+        for s in ids:
+            for t, (cost, paths) in all_shortest(arcs, s).items():
+                paths = {tuple(p) for p in paths if sum(dict(arcs[a])[b] for a, b in zip(p, p[1:])) == cost}
+                for p in paths:
+                    for v in p[1:-1]:
+                        score[v] += 1 / len(paths)
+        n = len(ids)
+        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0
+        want += [(repo, v, round(x * scale, 6)) for v, x in sorted(((v, x) for v, x in score.items()), key=lambda y: (-round(y[1] * scale, 6), y[0]))[:20]]
+    got = {(r["repo_id"], r["id"], r["score"]) for r in catalogue.QUERIES["critical_nodes"](spark, DATA).collect()}
+    assert {(r, v, round(x, 5)) for r, v, x in got} == {(r, v, round(x, 5)) for r, v, x in want}
+
+
+def test_overviews_of_every_repository(spark):
+    rows = catalogue.QUERIES["overview_cached"](spark, DATA).collect()
+    stats = {r["repo_id"]: r for r in catalogue.QUERIES["repo_stats"](spark, DATA).collect()}
+    assert {r["repo_id"] for r in rows} == {k for k, v in stats.items() if v["n_nodes"]}
+    for r in rows:
+        value = json.loads(r["value_json"])
+        assert value["stats"]["node_count"] == stats[r["repo_id"]]["n_nodes"] and len(value["critical"]) <= 20 and all(c["size"] >= 3 for c in value["communities"])
+    lines = catalogue.QUERIES["report_markdown"](spark, DATA).where("line = 0").collect()
+    assert {r["text"] for r in lines} == {f"# Architecture of {r['repo_id']}" for r in rows}
+
+
+def test_cycles_of_every_repository(spark):
+    from depgraph.operators import algorithms as al
+    from depgraph.operators import graph as gr
+
+    nodes = [(f"{r}{i}", r) for r in "pq" for i in range(5)] + [(f"z{i}", "z") for i in range(7)]
+    arcs = [("p0", "p1"), ("p1", "p0"), ("p1", "p2"), ("p2", "p0"), ("q0", "q1"), ("q1", "q2"), ("q2", "q3"), ("q3", "q0"), ("p4", "q4"), ("q4", "p4"), ("p3", "p4"), ("z0", "z1"), ("z1", "z0")]
+    g = gr.Graph(spark.createDataFrame(nodes, "id string, repo_id string"), spark.createDataFrame(arcs, "src string, dst string"))
+    got = [(r["repo_id"], r["place"], tuple(r["nodes"])) for r in al.cycles_by_repo(g, 2, 6).collect()]
+    assert sorted(got) == [("p", 1, ("p0", "p1")), ("p", 2, ("p0", "p1", "p2")), ("q", 1, ("q0", "q1", "q2", "q3"))]
+
+
+def test_joins_on_hot_keys(spark):
+    from depgraph.operators.skew import first_per_group, hot_keys, spread_join
+
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, -1), ("none", -2)], "k string, i int")
+    unique = spark.createDataFrame([("hot", "h", 1)] + [(f"k{i}", str(i), i) for i in range(0, 300, 3)], "k string, a string, b int")
+    hot = hot_keys(rows, "k", 10)
+    assert [r[0] for r in hot.collect()] == ["hot"]
+    got = {(r["k"], r["i"], r["a"], r["b"]) for r in spread_join(rows, unique, "k", hot).collect()}
+    assert got == {("hot" if i % 3 else f"k{i}", i, "h" if i % 3 else str(i), 1 if i % 3 else i) for i in range(300)} | {(None, -1, None, None), ("none", -2, None, None)}
+    top = first_per_group(rows, ["k"], ["i"], 4, ["i"]).where("k = 'hot'").orderBy("place").collect()
+    assert [(r["place"], r["i"]) for r in top] == [(1, 1), (2, 2), (3, 4), (4, 5)]
+    assert hot_keys(rows.where("false"), "k").collect() == []
