@@ -62,7 +62,7 @@ def ranked(index: Index, query: str) -> DataFrame:
     """(id, rank) of the matching rows, best (least) first by rank and id. Statistics are those of the whole index."""
     hits = matches(index, query)
     stats = index.lengths.agg(F.count("*").alias("total"), F.avg("n_tokens").alias("mean"))
-    found = hits.agg(F.count("*").alias("found"))
+    found = hits.agg(F.count("hits").alias("found"))  # of the same columns, so that its shuffle is used twice
     idf = F.log((F.col("total") - F.col("found") + 0.5) / (F.col("found") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     f = F.col("hits").cast("double")

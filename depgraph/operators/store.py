@@ -97,6 +97,52 @@ def refresh_repos(repos: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return repos.drop("node_count", "edge_count").join(n, "id", "left").join(e, "id", "left").na.fill(0, ["node_count", "edge_count"])
 
 
+def upsert_repos(repos: DataFrame, incoming: DataFrame) -> DataFrame:
+    """repos with the incoming ones (id, path, name, status and perhaps languages): new ones are added with counts of 0, of known ones the given columns are replaced and the rest stays.
+
+    Of repeated incoming ids the row with the largest name counts; null ids are left out.
+    """
+    given = [c for c in ("path", "name", "languages", "status") if c in incoming.columns]
+    new = incoming.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*given), "name").alias("new"))
+    both = repos.withColumn("old", F.lit(True)).join(new, "id", "full_outer")
+    pick = {c: F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col(c)) for c in given}
+    return both.withColumns(pick | {c: F.coalesce(c, F.lit(0)) for c in ("node_count", "edge_count") if c in repos.columns}).select(*repos.columns)
+
+
+def set_status(repos: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """repos with another status for those whose id is among ``ids``."""
+    mark = ids.select("id").distinct().withColumn("mine", F.lit(True))
+    return repos.join(mark, "id", "left").withColumn("status", F.when(F.col("mine"), status).otherwise(F.col("status"))).select(*repos.columns)
+
+
+def finish_repos(repos: DataFrame, ids: DataFrame, nodes: DataFrame, edges: DataFrame, status: str = "ready") -> DataFrame:
+    """repos after those of ``ids`` were indexed: status, time, and the counts that the tables really have; the others stay as they are."""
+    mine = ids.select("id").distinct().withColumn("mine", F.lit(True))
+    n = nodes.groupBy(F.col("repo_id").alias("id")).agg(F.count("*").alias("new_nodes"))
+    e = edges.groupBy(F.col("repo_id").alias("id")).agg(F.count("*").alias("new_edges"))
+    r = repos.join(mine, "id", "left").join(n, "id", "left").join(e, "id", "left")
+    new = {"status": F.lit(status), "last_indexed": F.current_timestamp(), "node_count": F.coalesce("new_nodes", F.lit(0)), "edge_count": F.coalesce("new_edges", F.lit(0))}
+    old = {"node_count": F.coalesce("node_count", F.lit(0)), "edge_count": F.coalesce("edge_count", F.lit(0))}
+    return r.withColumns({c: F.when(F.col("mine"), v).otherwise(old.get(c, F.col(c))) for c, v in new.items()}).select(*repos.columns)
+
+
+def delete_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows (of nodes or raw edges) without those of some files (repo_id, file_path)."""
+    return rows.join(files.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_anti")
+
+
+def upsert_metrics(metrics: DataFrame | None, new: DataFrame) -> DataFrame:
+    """repo_metrics (repo_id, metric, value_json, computed_at) with new values: one row per repository and metric, the latest."""
+    columns = ["repo_id", "metric", "value_json", "computed_at"]
+    rows = new.select(*columns) if metrics is None else metrics.select(*columns).unionByName(new.select(*columns))
+    last = rows.groupBy("repo_id", "metric").agg(F.max(F.struct("computed_at", "value_json")).alias("r"))
+    return last.select("repo_id", "metric", "r.value_json", "r.computed_at")
+
+
+def get_repo(repos: DataFrame, id_: str) -> DataFrame:
+    return repos.where(F.col("id") == id_)
+
+
 def recent_repos(repos: DataFrame) -> DataFrame:
     """Repositories with their place in the order of indexing, latest first, never indexed ones last."""
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("last_indexed"), "id"))  # a row per repository

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depgraph.functions.exprs import search_tokens
+from depgraph.functions.exprs import ACCENTED, PLAIN, node_id, search_tokens, short_name
 from depgraph.operators import algorithms as al
 from depgraph.operators import extract as ex
 from depgraph.operators import graph as gr
+from depgraph.operators import graphstore as gs
 from depgraph.operators import ingest as ig
 from depgraph.operators import overview as ov
 from depgraph.operators import search as se
@@ -17,6 +18,7 @@ from depgraph.plans import lenses
 from depgraph.sources import files as fi
 from depgraph.sources.shared import kept
 from depgraph.sources.tables import table
+from depgraph.streaming import ingest as si
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -31,15 +33,18 @@ def _graph(spark: SparkSession, d: str, **k) -> gr.Graph:
     return gr.load_graph(_nodes(spark, d), _edges(spark, d), **k)
 
 
+def _code(spark: SparkSession, d: str) -> gs.CodeGraph:
+    """The code graph as it is stored; written by the first query that needs it."""
+    return gs.stored(spark, d)
+
+
 def _busiest_target(spark: SparkSession, d: str, k: int = 1) -> DataFrame:
     """The nodes that most edges point at."""
-    e = _edges(spark, d).join(_nodes(spark, d).select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    return st.top_by(e, "target_id", k).select(F.col("target_id").alias("id"))
+    return _code(spark, d).ends.where("in_degree > 0").orderBy(F.desc("in_degree"), "id").limit(k).select("id")
 
 
 def _busiest_source(spark: SparkSession, d: str, k: int = 1) -> DataFrame:
-    e = _edges(spark, d).join(_nodes(spark, d).select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    return st.top_by(e, "source_id", k).select(F.col("source_id").alias("id"))
+    return _code(spark, d).ends.where("out_degree > 0").orderBy(F.desc("out_degree"), "id").limit(k).select("id")
 
 
 N = "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -184,6 +189,72 @@ def decorated_nodes(spark, d):
     return _nodes(spark, d).where(F.size(x) > 0).select("id", F.size(x).cast("bigint").alias("n"), F.array_join(x, ",").alias("decorators"))
 
 
+@query(f"WITH {N} SELECT id, concat_ws('::', repo_id, file_path, CASE WHEN type <> 'file' THEN name END) AS built, list_last(string_split(name, '::')) AS short FROM n")
+def node_ids(spark, d):
+    """Ids and short names as they are built from their parts."""
+    r = _code(spark, d).nodes.withColumn("member", F.when(F.col("type") != "file", F.col("name")))
+    return r.select("id", node_id("repo_id", "file_path", "member").alias("built"), short_name().alias("short"))
+
+
+@query(f"""WITH {N}, incoming AS (SELECT DISTINCT repo_id AS id, '/new/' || repo_id AS path, upper(repo_id) AS name FROM n WHERE repo_id > 'h' UNION ALL SELECT 'fresh', '/new/fresh', 'FRESH')
+SELECT coalesce(i.id, r.id) AS id, coalesce(i.path, r.path) AS path, coalesce(i.name, r.name) AS name, CASE WHEN i.id IS NOT NULL THEN 'indexing' ELSE r.status END AS status, coalesce(r.node_count, 0) AS node_count FROM repos r FULL OUTER JOIN incoming i ON r.id = i.id""")
+def upsert_repos(spark, d):
+    """Repositories after some were delivered again and one came: what is delivered counts, counts stay."""
+    have = _code(spark, d).nodes.where("repo_id > 'h'").select(F.col("repo_id").alias("id")).distinct()
+    new = have.unionByName(spark.createDataFrame([("fresh",)], "id string"))
+    new = new.select("id", F.concat(F.lit("/new/"), "id").alias("path"), F.upper("id").alias("name"), F.lit("indexing").alias("status"))
+    return st.upsert_repos(table(spark, d, "repos"), new).select("id", "path", "name", "status", "node_count")
+
+
+@query(f"""WITH {NE}, m AS (SELECT max(last_indexed) AS at FROM repos) SELECT id, 'ready' AS status, (SELECT count(*) FROM n WHERE n.repo_id = p.id) AS node_count, (SELECT count(*) FROM e WHERE e.repo_id = p.id) AS edge_count FROM repos p WHERE id < 'h'
+UNION ALL SELECT id, status, coalesce(node_count, 0), coalesce(edge_count, 0) FROM repos WHERE id >= 'h'""")
+def index_status(spark, d):
+    """Repositories after some of them were indexed: status, time and counts of those are new."""
+    c = _code(spark, d)
+    repos = table(spark, d, "repos")
+    done = repos.where("id < 'h'").select("id")
+    return st.finish_repos(repos, done, c.nodes, c.edges).select("id", "status", "node_count", "edge_count")
+
+
+@query(f"WITH {NE}, gone AS (SELECT DISTINCT repo_id, file_path FROM n WHERE lower(language) = 'go') SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.repo_id = n.repo_id AND g.file_path = n.file_path)")
+def delete_by_file(spark, d):
+    """Nodes after some files were deleted."""
+    n = _code(spark, d).nodes
+    return st.delete_files(n, n.where("lower(language) = 'go'").select("repo_id", "file_path")).select("id")
+
+
+@query(f"""WITH {NE}, a AS (SELECT repo_id, 'nodes' AS metric, '{{{{"value":' || count(*) || '}}}}' AS value_json FROM n GROUP BY repo_id UNION ALL SELECT repo_id, 'edges', '{{{{"value":' || count(*) || '}}}}' FROM e GROUP BY repo_id)
+SELECT repo_id, metric, value_json FROM a""".replace("{{", "{").replace("}}", "}"))
+def saved_metrics(spark, d):
+    """Metrics that were saved twice: the later ones count."""
+    c = _code(spark, d)
+    m = lambda rows, name: rows.groupBy("repo_id").agg(F.to_json(F.struct(F.count("*").alias("value"))).alias("value_json")).select("repo_id", F.lit(name).alias("metric"), "value_json")
+    new = m(c.nodes, "nodes").unionByName(m(c.edges, "edges"))
+    old = new.withColumns({"value_json": F.lit("{}"), "computed_at": F.to_timestamp(F.lit("2020-01-01"))})
+    return st.upsert_metrics(old, new.withColumn("computed_at", F.to_timestamp(F.lit("2020-01-02")))).select("repo_id", "metric", "value_json")
+
+
+@query(f"""WITH {N}, f AS (SELECT DISTINCT repo_id, file_path FROM n WHERE file_path IS NOT NULL), fl AS (SELECT repo_id, string_agg(file_path, ' ' ORDER BY file_path) AS files FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_path) AS k FROM f) WHERE k <= 20 GROUP BY 1),
+nl AS (SELECT repo_id, string_agg(name, ' / ' ORDER BY length(name), name, id) AS label FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY length(name), name, id) AS k FROM n WHERE name IS NOT NULL) WHERE k <= 3 GROUP BY 1),
+il AS (SELECT repo_id, string_agg(id, ' ' ORDER BY id) AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS k FROM n) WHERE k <= 50 GROUP BY 1)
+SELECT repo_id AS community, (SELECT count(*) FROM n WHERE n.repo_id = il.repo_id) AS size, label, files, nodes FROM il JOIN fl USING (repo_id) JOIN nl USING (repo_id)""")
+def group_report(spark, d):
+    """The report on communities, with the repositories as groups: labels of the three shortest names, the first files and nodes."""
+    g = _code(spark, d).graph
+    r = al.community_report(g, g.vertices.where("repo_id IS NOT NULL").select("id", F.col("repo_id").alias("community")))
+    return r.select("community", "size", "label", F.array_join("files", " ").alias("files"), F.array_join("nodes", " ").alias("nodes"))
+
+
+@query("""WITH events_in AS (SELECT name AS repository FROM repos WHERE id < 'f' UNION ALL SELECT id FROM repos WHERE id > 'm' UNION ALL SELECT 'nobody'),
+hit AS (SELECT repository, min(id) FILTER (id = repository) AS by_id, min(id) FILTER (name = repository) AS by_name FROM events_in JOIN repos ON id = repository OR name = repository GROUP BY 1)
+SELECT DISTINCT coalesce(by_id, by_name) AS id FROM hit""")
+def pushed_repos(spark, d):
+    """Repositories that push events speak of, by id or by name."""
+    repos = table(spark, d, "repos")
+    events = repos.where("id < 'f'").select(F.col("name").alias("repository")).unionByName(repos.where("id > 'm'").select(F.col("id").alias("repository"))).unionByName(spark.createDataFrame([("nobody",)], "repository string"))
+    return si.pushed_repos(events, repos).select("id")
+
+
 # -- files and increments -----------------------------------------------------------------------------------------------
 _FILES = "files AS (SELECT DISTINCT file_id, repo_id, file_path, content FROM source_files)"
 _EXCLUDED = "(" + " OR ".join(f"contains('/' || file_path || '/', '/{p}/')" for p in fi.DEFAULT_EXCLUDES) + " OR contains('/' || file_path || '/', '/web/vendor/') OR list_contains(string_split(file_path, '/'), 'generated_reports'))"
@@ -265,45 +336,52 @@ def _reach_columns(r):
 
 @query(_bfs(TOP_SOURCE.format(k=3), "src", "dst", 1))
 def dependencies_d1(spark, d):
-    return _reach_columns(gr.dependencies(_graph(spark, d), _busiest_source(spark, d, 3), 1))
+    return _reach_columns(gr.dependencies(_code(spark, d).graph, _busiest_source(spark, d, 3), 1))
 
 
 @query(_bfs(TOP_SOURCE.format(k=3), "src", "dst", 3))
 def dependencies_d3(spark, d):
-    return _reach_columns(gr.dependencies(_graph(spark, d), _busiest_source(spark, d, 3), 3))
+    return _reach_columns(gr.dependencies(_code(spark, d).graph, _busiest_source(spark, d, 3), 3))
+
+
+@query("SELECT start, id, depth, row_number() OVER (PARTITION BY start ORDER BY depth, name, id)::INTEGER AS place FROM (" + _bfs(TOP_SOURCE.format(k=3), "src", "dst", 2) + ")")
+def dependencies_ordered(spark, d):
+    """Dependencies in the order of an answer: by depth and name."""
+    r = gr.dependencies(_code(spark, d).graph, _busiest_source(spark, d, 3), 2)
+    return r.select("start", "id", "depth", F.row_number().over(Window.partitionBy("start").orderBy("depth", "name", "id")).alias("place"))
 
 
 @query(_bfs(TOP_SOURCE.format(k=3), "src", "dst", 3, "WHERE relation IN ('calls', 'imports')"))
 def dependencies_filtered(spark, d):
-    return _reach_columns(gr.dependencies(_graph(spark, d), _busiest_source(spark, d, 3), 3, ["calls", "imports"]))
+    return _reach_columns(gr.dependencies(_code(spark, d).graph, _busiest_source(spark, d, 3), 3, ["calls", "imports"]))
 
 
 @query(_bfs(TOP_TARGET.format(k=3), "dst", "src", 2))
 def dependents_d2(spark, d):
-    return _reach_columns(gr.dependents(_graph(spark, d), _busiest_target(spark, d, 3), 2))
+    return _reach_columns(gr.dependents(_code(spark, d).reverse, _busiest_target(spark, d, 3), 2))
 
 
 @query(_bfs(TOP_TARGET.format(k=1), "dst", "src", 3))
 def impact_d3(spark, d):
-    return _reach_columns(gr.impact(_graph(spark, d), _busiest_target(spark, d), 3))
+    return _reach_columns(gr.impact(_code(spark, d).reverse, _busiest_target(spark, d), 3))
 
 
 @query(_bfs(TOP_TARGET.format(k=1), "dst", "src", 3).replace("SELECT x.start, x.id", "SELECT q.start, n2.file_path, count(*) AS n, min(q.depth) AS depth FROM (SELECT x.start, x.id") + ") q JOIN n n2 ON n2.id = q.id GROUP BY ALL")
 def impact_by_file(spark, d):
-    return gr.impact_by_file(gr.impact(_graph(spark, d), _busiest_target(spark, d), 3))
+    return gr.impact_by_file(gr.impact(_code(spark, d).reverse, _busiest_target(spark, d), 3))
 
 
 @query(f"""WITH RECURSIVE {NEA}, {TOP_SOURCE.format(k=1)}, both_ways AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs), walk(id, depth) AS (SELECT id, 0 FROM start UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.depth < 2), near AS (SELECT DISTINCT id FROM walk)
 SELECT src, dst, relation FROM arcs WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)""")
 def ego_subgraph(spark, d):
-    return gr.ego(_graph(spark, d), _busiest_source(spark, d), 2).arcs.select("src", "dst", "relation")
+    return gr.ego(_code(spark, d).graph, _busiest_source(spark, d), 2).arcs.select("src", "dst", "relation")
 
 
 @query(f"""WITH {NEA}, f AS (SELECT repo_id, file_path FROM n WHERE file_path IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, repo_id, file_path LIMIT 1), mine AS (SELECT id FROM n JOIN f USING (repo_id, file_path)),
 near AS (SELECT id FROM mine UNION SELECT dst FROM arcs WHERE src IN (SELECT id FROM mine) UNION SELECT src FROM arcs WHERE dst IN (SELECT id FROM mine))
 SELECT src, dst, relation FROM arcs WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)""")
 def file_subgraph(spark, d):
-    g = _graph(spark, d)
+    g = _code(spark, d).graph
     row = g.vertices.where("file_path IS NOT NULL").groupBy("repo_id", "file_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "repo_id", "file_path").first()
     return gr.file_subgraph(g, row[0] if row else "", row[1] if row else "").arcs.select("src", "dst", "relation")
 
@@ -311,7 +389,7 @@ def file_subgraph(spark, d):
 @query(f"""WITH {NEA}, p AS (SELECT DISTINCT a.src AS a, a.dst AS b FROM arcs a JOIN arcs r ON a.src = r.dst AND a.dst = r.src)
 SELECT a, b, '->' AS direction, relation, confidence FROM arcs JOIN p ON src = a AND dst = b UNION ALL SELECT a, b, '<-', relation, confidence FROM arcs JOIN p ON src = b AND dst = a""")
 def edges_between(spark, d):
-    g = _graph(spark, d)
+    g = _code(spark, d).graph
     back = g.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     pairs = g.arcs.select("src", "dst").join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return gr.edges_between(g, pairs)
@@ -319,22 +397,22 @@ def edges_between(spark, d):
 
 @query(f"WITH {NEA}, {DEGREES} SELECT id, in_degree, in_plain, out_degree, out_plain FROM deg")
 def degrees(spark, d):
-    return gr.degrees(_graph(spark, d)).select("id", "in_degree", "in_plain", "out_degree", "out_plain")
+    return gr.degrees(_code(spark, d).graph).select("id", "in_degree", "in_plain", "out_degree", "out_plain")
 
 
 @query(f"WITH {NEA}, {DEGREES} SELECT id, name, type, file_path, out_degree FROM deg WHERE in_plain = 0 AND type IN ('function', 'class')")
 def entry_points(spark, d):
-    return gr.entry_points(_graph(spark, d))
+    return gr.entry_points(_code(spark, d).graph)
 
 
 @query(f"WITH {NEA}, {DEGREES} SELECT id, name, type, file_path, in_degree FROM deg WHERE out_degree = 0 AND type IN ('function', 'class')")
 def dead_ends(spark, d):
-    return gr.dead_ends(_graph(spark, d))
+    return gr.dead_ends(_code(spark, d).graph)
 
 
 @query(f"WITH {NEA}, {DEGREES} SELECT id, name, in_plain AS in_degree, out_degree, in_plain + out_degree AS coupling_score FROM deg WHERE in_plain >= 8 AND out_degree >= 8")
 def god_objects(spark, d):
-    return gr.god_objects(_graph(spark, d)).select("id", "name", "in_degree", "out_degree", "coupling_score")
+    return gr.god_objects(_code(spark, d).graph).select("id", "name", "in_degree", "out_degree", "coupling_score")
 
 
 @query(f"WITH {lenses.HANDOFF_SQL}, i AS (SELECT dst AS id, count(*) AS a FROM handoff GROUP BY 1), o AS (SELECT src AS id, count(*) AS b FROM handoff GROUP BY 1) SELECT id, a AS in_degree, b AS out_degree, a + b AS coupling_score FROM i JOIN o USING (id) WHERE a >= 8 AND b >= 8")
@@ -344,7 +422,7 @@ def god_objects_handoff(spark, d):
 
 @query(f"WITH {NEA}, {DEGREES} SELECT id, (in_plain + out_plain)::DOUBLE AS score, in_plain AS in_degree, out_degree FROM deg ORDER BY score DESC, id LIMIT 20")
 def critical_degree(spark, d):
-    return gr.critical_by_degree(_graph(spark, d), 20).select("id", "score", "in_degree", "out_degree")
+    return gr.critical_by_degree(_code(spark, d).graph, 20).select("id", "score", "in_degree", "out_degree")
 
 
 # -- paths, cycles, centrality, communities ---------------------------------------------------------------------------------
@@ -377,20 +455,20 @@ def betweenness(spark, d):
 @query()
 def shortest_paths_code(spark, d):
     """Cheapest paths from the five busiest sources over the whole code graph; enumerating them in SQL is too slow."""
-    g = _graph(spark, d).stored("code")
+    g = _code(spark, d).graph
     return al.shortest_paths(g, _busiest_source(spark, d, 5)).select("source", "target", "cost", "length", F.array_join("path", ">").alias("path"))
 
 
 @query()
 def critical_nodes(spark, d):
     """Of every repository, the vertices that matter most, each repository a graph of its own."""
-    return al.critical_by_repo(_graph(spark, d)).select("repo_id", "id", "score", "method", "in_degree", "out_degree")
+    return al.critical_by_repo(_code(spark, d).graph).select("repo_id", "id", "score", "method", "in_degree", "out_degree")
 
 
 @query()
 def cycles_code(spark, d):
     """The twenty shortest cycles of the whole code graph; enumerating simple paths in SQL is too slow."""
-    return al.cycles(_graph(spark, d), 20).select("length", F.array_join("nodes", ">").alias("nodes"))
+    return al.cycles(_code(spark, d).graph, 20).select("length", F.array_join("nodes", ">").alias("nodes"))
 
 
 @query(f"""WITH RECURSIVE {NE}, {ARCS.format(filter="AND relation IN ('inherits', 'method')")}, b AS (SELECT src, dst FROM arcs WHERE src <> dst UNION SELECT dst, src FROM arcs WHERE src <> dst), w(id, r) AS (SELECT id, id FROM n UNION SELECT w.id, b.dst FROM w JOIN b ON b.src = w.r) SELECT id, min(r) AS component FROM w GROUP BY 1""")
@@ -401,12 +479,12 @@ def connected_components(spark, d):
 @query()
 def connected_components_all(spark, d):
     """Components of the whole graph, over all relations; the recursive SQL above can't follow its giant component."""
-    return al.connected_components(_graph(spark, d))
+    return al.connected_components(_code(spark, d).graph)
 
 
 @query()
 def communities(spark, d):
-    g = _graph(spark, d).stored("code")
+    g = _code(spark, d).graph
     return al.community_report(g, al.communities(g, 3)).select("community", "size", "label")
 
 
@@ -416,18 +494,16 @@ _WORDS = """words AS (SELECT id, col, unnest(t) AS term, unnest(range(len(t))) A
 lengths AS (SELECT n.id, coalesce(k, 0) AS len FROM n LEFT JOIN (SELECT id, count(*) AS k FROM words GROUP BY 1) USING (id)), total AS (SELECT count(*) AS n, avg(len) AS mean FROM lengths)"""
 
 
-def _search_sql(hits: str, limit: int, kind: str = "") -> str:
-    from depgraph.functions.exprs import ACCENTED, PLAIN
-
+def _search_sql(hits: str, limit: int, kind: str = "", within: str = "") -> str:
     return f"""WITH {N}, {_WORDS.format(a=ACCENTED, p=PLAIN)}, hits AS ({hits}), df AS (SELECT count(*) AS c FROM hits),
     idf AS (SELECT CASE WHEN ln((n - c + 0.5) / (c + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - c + 0.5) / (c + 0.5)) END AS v FROM total, df),
-    best AS (SELECT h.id, -v * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) AS rank FROM hits h JOIN lengths USING (id), idf, total ORDER BY rank, id LIMIT {3 * limit})
+    best AS (SELECT h.id, -v * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) AS rank FROM hits h JOIN lengths USING (id), idf, total {within} ORDER BY rank, id LIMIT {3 * limit})
     SELECT id, round(rank, 9) AS rank FROM best JOIN n USING (id) {kind} ORDER BY best.rank, id LIMIT {limit}"""
 
 
 def _search(spark, d, q, limit, kind=None):
-    nodes = _nodes(spark, d)
-    return se.search(se.build_index(nodes), nodes, q, limit, kind).select("id", F.round("rank", 9).alias("rank"))
+    c = _code(spark, d)
+    return se.search(c.index, c.nodes, q, limit, kind).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(_search_sql("SELECT id, count(*)::DOUBLE AS f FROM words WHERE starts_with(term, 'catal') GROUP BY 1", 20))
@@ -440,20 +516,41 @@ def search_phrase(spark, d):
     return _search(spark, d, "Not thread safe", 20)
 
 
+@query(f"WITH {N}, {_WORDS.format(a=ACCENTED, p=PLAIN)} SELECT id, col, term, pos::BIGINT AS pos FROM words")
+def postings(spark, d):
+    """The stored search index, a row per word."""
+    return _code(spark, d).index.postings.select("id", "col", "term", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(f"WITH {N}, {_WORDS.format(a=ACCENTED, p=PLAIN)} SELECT id, col, term, pos::BIGINT AS pos FROM words")
+def postings_maintained(spark, d):
+    """The index after the rows of PHP files were taken out and delivered again, and nodes that don't exist were deleted: the same as before."""
+    c = _code(spark, d)
+    php = c.nodes.where("lower(language) = 'php'")
+    gone = php.select(F.concat("id", F.lit("::gone")).alias("id"))
+    stale = se.Index(c.index.postings.withColumn("term", F.when(F.col("col") == "name", F.concat("term", F.lit("old"))).otherwise(F.col("term"))).join(php.select("id"), "id", "left_semi").unionByName(c.index.postings.join(php.select("id"), "id", "left_anti")), c.index.lengths)
+    return gs.update_index(stale, php, gone).postings.select("id", "col", "term", F.col("pos").cast("bigint").alias("pos"))
+
+
 @query(_search_sql("SELECT id, count(*)::DOUBLE AS f FROM words WHERE starts_with(term, 'ledger') GROUP BY 1", 20, "WHERE type = 'class'"))
 def search_typed(spark, d):
     return _search(spark, d, "ledger", 20, "class")
 
 
+@query("SELECT id FROM (" + _search_sql("SELECT id, count(*)::DOUBLE AS f FROM words WHERE starts_with(term, 'logger') GROUP BY 1", 1, within="WHERE h.id IN (SELECT id FROM n WHERE repo_id = 'corekit')") + ")")
+def resolve_node_by_search(spark, d):
+    """A name that is no id stands for the best match of a search in its repository."""
+    c = _code(spark, d)
+    return se.resolve_node(c.index, c.nodes, "corekit", "logger")
+
+
 @query(f"WITH {N} SELECT id FROM n WHERE repo_id = 'corekit' AND id = 'corekit::src/Log/Logger.php::Logger::info'")
 def resolve_node(spark, d):
-    nodes = _nodes(spark, d)
-    return se.resolve_node(se.build_index(nodes), nodes, "corekit", "corekit::src/Log/Logger.php::Logger::info")
+    c = _code(spark, d)
+    return se.resolve_node(c.index, c.nodes, "corekit", "corekit::src/Log/Logger.php::Logger::info")
 
 
 def _token_sql():
-    from depgraph.functions.exprs import ACCENTED, PLAIN
-
     return f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(string_split_regex(translate(lower(coalesce(text, '')), '{ACCENTED}', '{PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x <> '') AS t FROM documents)"
 
 
@@ -483,8 +580,8 @@ def extract_edges(spark, d):
 @query()
 def overview_cached(spark, d):
     """The overview of every repository as it is kept."""
-    g = _graph(spark, d).stored("overview")
-    return ov.overviews(g, _nodes(spark, d), _edges(spark, d))
+    c = _code(spark, d)
+    return ov.overviews(c.graph, c.nodes, c.edges)
 
 
 @query()
