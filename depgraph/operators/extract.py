@@ -1,8 +1,8 @@
 """Extraction: nodes and raw edges from source texts of thirteen languages.
 
-Python is read by its own parser (with a line scanner for files that don't parse); the other languages by a
+Python is read by its own parser (files that it rejects give an error and no rows); the other languages by a
 scanner that blanks out comments and strings, pairs brackets and finds declarations by one table of patterns
-per language. All of it runs in one Arrow pass over the files.
+per language. Its time grows in proportion to the file. All of it runs in one Arrow pass over the files.
 """
 
 from __future__ import annotations
@@ -39,24 +39,28 @@ _ID = r"[^\W\d]\w*"
 _HEAD = rf"(?:[\w<>\[\],.?*&:\s]|@\w+)*?"
 _C_IMPORT = [(r"^[ \t]*\#[ \t]*include[ \t]*[<\"]([^>\"\n]+)", "imports", lambda s: s.split("/")[-1].split(".")[0])]
 _JS = LanguageSpec(
-    rf"\b(?:class|interface)[ \t]+(?P<name>{_ID})(?:[ \t]+extends[ \t]+(?P<bases>[\w.]+))?[^{{;]*\{{",
-    rf"\bfunction[ \t]*\*?[ \t]*(?P<name>{_ID})[ \t]*(?:<[^>(]*>)?[ \t]*\(|(?:^|(?<=[{{;}}]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)[ \t]+|\*[ \t]*)*(?P<method>{_ID})[ \t]*(?:<[^>(]*>)?\((?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;=]+)?\{{)",
+    rf"\bclass[ \t]+(?P<name>{_ID})(?:[ \t]+extends[ \t]+(?P<bases>[\w.]+))?[^{{;]*\{{",
+    rf"\bfunction[ \t]*\*?[ \t]*(?P<name>{_ID})[ \t]*(?:<[^>(]*>)?[ \t]*\(|(?:^|(?<=[{{;}}]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)[ \t]+|\*[ \t]*)*(?P<method>{_ID})[ \t]*(?:<[^>(]*>)?\((?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{}};=]+)?\{{)",
     [(r"^[ \t]*(?:import|export)\b[^;\n]*?from[ \t]*(['\"][^'\"\n]+['\"])", "imports_from", _last("/")), (r"^[ \t]*import[ \t]*(['\"][^'\"\n]+['\"])", "imports_from", _last("/"))],
 )
 _C = LanguageSpec(r"\b(?:struct|union|enum|class)[ \t]+(?P<name>[^\W\d]\w*)(?:[ \t]*:[^{;]*)?\s*\{", rf"^(?:[\w*&:<>,~\[\]]+[ \t\n*&]+)+(?P<owner>{_ID}::)?(?P<name>~?{_ID})[ \t]*\((?=[^;{{}}]*\)[^;{{}}()]*\{{)", _C_IMPORT)
+#: Fixed values of the language: modifiers of members, and words that begin a statement rather than a type.
+_CS_MODIFIERS = "public|protected|private|internal|static|virtual|override|abstract|async|sealed|extern|unsafe|partial|readonly|new"
+_CS_NO_TYPE = "return|else|throw|await|using|namespace|class|interface|struct|enum|record|delegate|event|operator|implicit|explicit|if|while|for|foreach|switch|case|lock|do|in|out|ref|is|as|yield|goto|var"
+_JAVA_NO_TYPE = "return|else|throw|new|assert|case|record|enum|class|interface|import|package|yield|do"
 SPECS: dict[str, LanguageSpec] = {
     "javascript": _JS,
     "typescript": _JS,
     "go": LanguageSpec(rf"^[ \t]*type[ \t]+(?P<name>{_ID})[ \t]+(?:struct|interface)\b[^{{\n]*\{{", rf"^func[ \t]+(?:\([^)]*?\*?(?P<owner>{_ID})(?:\[[^\]]*\])?\)[ \t]*)?(?P<name>{_ID})[ \t]*[(\[]"),
-    "java": LanguageSpec(rf"\b(?:class|interface|enum|record)[ \t]+(?P<name>{_ID})[^{{;()]*(?:\([^)]*\))?[^{{;]*\{{", rf"^[ \t]*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)[ \t]+)*(?:<[^>]+>[ \t]*)?(?:{_ID}[\w.<>\[\],? ]*[ \t]+)?(?P<name>{_ID})[ \t]*\((?=[^;{{}}]*\)\s*(?:throws[^{{;]*)?\{{)", [(r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.*]+)", "imports", lambda s: s.rstrip(".*").split(".")[-1])]),
-    "rust": LanguageSpec(rf"\b(?:struct|enum|trait)[ \t]+(?P<name>{_ID})[^{{;(]*\{{|\bimpl\b(?:<[^>]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?(?P<impl>{_ID})[^{{;]*\{{", rf"\bfn[ \t]+(?P<name>{_ID})[ \t]*[(<]"),
-    "php": LanguageSpec(rf"\b(?:class|interface|trait|enum)[ \t]+(?P<name>{_ID})(?:[ \t]+extends[ \t]+(?P<bases>[\w\\, ]+?))?(?:[ \t]+implements[ \t]+(?P<ifaces>[\w\\, ]+?))?\s*\{{", rf"\bfunction[ \t]*&?[ \t]*(?P<name>{_ID})[ \t]*\(", [(r"^[ \t]*use[ \t]+(?!function\b|const\b)([\w\\]+)", "imports", _last("\\"))]),
-    "csharp": LanguageSpec(rf"\b(?:class|interface|struct|record|enum)[ \t]+(?P<name>{_ID})[^{{;]*\{{", rf"^[ \t]*(?:(?:public|protected|private|internal|static|virtual|override|abstract|async|sealed)[ \t]+)+(?:{_ID}[\w.<>\[\],? ]*[ \t]+)?(?P<name>{_ID})[ \t]*\((?=[^;{{}}]*\)[^;{{}}]*\{{)", [(r"^[ \t]*using[ \t]+([\w.]+)[ \t]*;", "imports", _last("."))]),
+    "java": LanguageSpec(rf"(?<!@)\b(?:class|interface)[ \t]+(?P<name>{_ID})[^{{;()]*(?:\([^)]*\))?[^{{;]*\{{", rf"(?:^|(?<=[{{;}}]))[ \t]*(?:@[\w.]+(?:\([^()]*\))?[ \t]+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)[ \t]+)*(?:<[^>(]+>[ \t]*)?(?:(?!(?:{_JAVA_NO_TYPE})\b){_ID}[\w.<>\[\],? ]*[ \t]+(?P<name>{_ID})[ \t]*\((?=[^;{{}}]*\)\s*(?:throws[^{{;]*)?[{{;])|(?P<method>{_ID})[ \t]*\((?=[^;{{}}]*\)\s*(?:throws[^{{;]*)?\{{))", [(r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.*]+)", "imports", lambda s: s.rstrip(".*").split(".")[-1])]),
+    "rust": LanguageSpec(rf"\b(?:struct|trait)[ \t]+(?P<name>{_ID})[^{{;(]*\{{|\bimpl\b(?:<[^>]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?(?P<impl>{_ID})[^{{;]*\{{", rf"\bfn[ \t]+(?P<name>{_ID})[ \t]*[(<]"),
+    "php": LanguageSpec(rf"\bclass[ \t]+(?P<name>{_ID})(?:[ \t]+extends[ \t]+(?P<bases>[\w\\, ]+?))?(?:[ \t]+implements[ \t]+(?P<ifaces>[\w\\, ]+?))?\s*\{{", rf"\bfunction[ \t]*&?[ \t]*(?P<name>{_ID})[ \t]*\(", [(r"^[ \t]*use[ \t]+(?!function\b|const\b)([\w\\]+)", "imports", _last("\\"))]),
+    "csharp": LanguageSpec(rf"\b(?:class|interface)[ \t]+(?P<name>{_ID})[^{{;]*\{{", rf"(?:^|(?<=[{{;}}\]]))[ \t]*(?:(?:{_CS_MODIFIERS})[ \t]+)*(?!(?:{_CS_MODIFIERS}|{_CS_NO_TYPE})\b){_ID}(?:[\w.?]|<[^;(){{}}]*?>|\[[\s,]*\])*[ \t]+(?P<name>{_ID})[ \t]*(?:<[^>(]*>)?\((?=[^;{{}}]*\)[^;{{}}=]*(?:\{{|=>|;))", [(r"^[ \t]*using[ \t]+([\w.]+)[ \t]*;", "imports", _last("."))]),
     "kotlin": LanguageSpec(rf"\b(?:class|interface|object)[ \t]+(?P<name>{_ID})[^{{\n]*\{{", rf"\bfun[ \t]+(?:<[^>]*>[ \t]*)?(?:{_ID}\.)?(?P<name>{_ID})[ \t]*\(", [(r"^[ \t]*import[ \t]+([\w.]+)", "imports", _last("."))]),
-    "scala": LanguageSpec(rf"\b(?:class|trait|object)[ \t]+(?P<name>{_ID})[^{{\n]*\{{", rf"\bdef[ \t]+(?P<name>{_ID})", [(r"^[ \t]*import[ \t]+([\w.{{}}, ]+)", "imports", _last("."))]),
-    "ruby": LanguageSpec(rf"^[ \t]*(?:class|module)[ \t]+(?P<name>{_ID})(?:[ \t]*<[ \t]*(?P<bases>[\w:]+))?", rf"^[ \t]*def[ \t]+(?:self\.)?(?P<name>{_ID}[?!]?)", [], "#", False, True),
-    "c": _C,
-    "cpp": _C,
+    "scala": LanguageSpec(rf"\b(?:class|object)[ \t]+(?P<name>{_ID})[^{{\n]*\{{", rf"\bdef[ \t]+(?P<name>{_ID})", [(r"^[ \t]*import[ \t]+([\w.{{}}, ]+)", "imports", _last("."))]),
+    "ruby": LanguageSpec(rf"^[ \t]*class[ \t]+(?P<name>{_ID})(?:[ \t]*<[ \t]*(?P<bases>[\w:]+))?", rf"^[ \t]*def[ \t]+(?:self\.)?(?P<name>{_ID}[?!]?)", [], "#", False, True),
+    "c": LanguageSpec(_C.classes.replace("|class)", ")"), _C.functions, _C.imports),
+    "cpp": LanguageSpec(_C.classes.replace("|enum|", "|").replace(r"\b(?:", r"(?<!enum)(?<!enum )\b(?:"), _C.functions, _C.imports),
 }
 _STRINGS = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
 
@@ -92,22 +96,95 @@ def _pairs(masked: str) -> dict[int, int]:
     return out | {a: len(masked) for a in stack}
 
 
-def _comment_above(text: str, at: int) -> str | None:
-    """The cleaned comment that ends directly above a position (attribute and decorator lines are passed over)."""
-    lines = text[:at].split("\n")[:-1]
-    while lines and re.match(r"\s*(?:@\w|#\[)", lines[-1]):
-        lines.pop()
+def _comment_above(lines: list[str], n: int) -> tuple[str | None, list[str]]:
+    """The cleaned comment that ends directly above line n (from 0), and the annotations and attributes between the two, in order."""
+    marks: list[str] = []
+    i = n - 1
+    while i >= 0 and (m := re.match(r"\s*(?:@(?!interface\b)([\w.]+)|#?\[(?:\w+:\s*)?(\w[\w.:]*))[^\n]*$", lines[i])):
+        marks.insert(0, "@" + (m[1] or m[2]))
+        i -= 1
     block: list[str] = []
-    if lines and re.search(r"\*/\s*$", lines[-1]):
-        while lines:
-            block.insert(0, lines.pop())
-            if "/*" in block[0]:
+    if i >= 0 and re.search(r"\*/\s*$", lines[i]):
+        while i >= 0:
+            block.append(lines[i])
+            i -= 1
+            if "/*" in block[-1]:
                 break
     else:
-        while lines and re.match(r"\s*(?://|#(?!\[|\s*(?:include|define|if|endif|pragma)))", lines[-1]):
-            block.insert(0, lines.pop())
-    out = [re.sub(r"\*+/\s*$", "", re.sub(r"^\s*(?:/\*+|\*+(?!/)|//+[/!]?|#+)\s?", "", x)).strip() for x in block]
-    return "\n".join(out).strip() or None
+        while i >= 0 and re.match(r"\s*(?://|#(?!\[|\s*(?:include|define|if|endif|pragma)))", lines[i]):
+            block.append(lines[i])
+            i -= 1
+    out = [re.sub(r"\*+/\s*$", "", re.sub(r"^\s*(?:/\*+|\*+(?!/)|//+[/!]?|#+)\s?", "", x)).strip() for x in reversed(block)]
+    return "\n".join(out).strip() or None, marks
+
+
+#: Languages in which a function's body may be an expression, and what stands before it.
+_EXPRESSION_BODY = {"csharp": "=>", "kotlin": "=", "scala": "="}
+
+
+def _body(language: str, masked: str, at: int, pairs: dict[int, int]) -> tuple[int, int]:
+    """(begin, end) of the body of a function whose name ends at a position; an empty stretch if it has none."""
+    i, n, mark = at, len(masked), _EXPRESSION_BODY.get(language)
+    depth = 0
+    while i < n:
+        c = masked[i]
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+            if depth < 0:
+                return i, i
+        elif not depth:
+            if c == "{":
+                return i, pairs.get(i, n)
+            if c in ";}" or c == "\n" and language in ("kotlin", "scala") and not re.match(r"\s*[{:=]", masked[i:n][:200]):
+                return i, i
+            if mark and masked.startswith(mark, i) and (mark != "=" or masked[i + 1 : i + 2] not in ("=", ">")):
+                begin = i + len(mark)
+                while begin < n and masked[begin].isspace():
+                    begin += 1
+                if masked[begin : begin + 1] == "{":
+                    return begin, pairs.get(begin, n)
+                end, depth = begin, 0
+                while end < n:
+                    c = masked[end]
+                    if c in "([{":
+                        depth += 1
+                    elif c in ")]}":
+                        depth -= 1
+                        if depth < 0:
+                            break
+                    elif not depth and (c == ";" or c == "\n" and mark == "="):
+                        break
+                    end += 1
+                return begin, end
+        i += 1
+    return n, n
+
+
+def _arrows(masked: str, begin: int, stop: int) -> list[tuple[int, int]]:
+    """Stretches of arrow function bodies between two positions: a block, or an expression up to the end of its argument or statement."""
+    out = []
+    at = begin
+    while (a := masked.find("=>", at, stop)) >= 0:
+        i, depth = a + 2, 0
+        while i < stop and masked[i].isspace():
+            i += 1
+        block = i < stop and masked[i] == "{"
+        while i < stop:
+            c = masked[i]
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+                if depth < 0 or block and not depth:
+                    break
+            elif c in ",;" and not depth:
+                break
+            i += 1
+        out.append((a, i))
+        at = max(i, a + 2)
+    return out
 
 
 class _File:
@@ -117,6 +194,7 @@ class _File:
         self.repo, self.path, self.language = repo, path, language
         self.root = f"{repo}::{path}"
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.lines = text.split("\n")
         self.nodes: list[dict] = []
         self.edges: list[dict] = []
         self.seen: set[str] = set()
@@ -174,7 +252,8 @@ def _python(f: _File, text: str):
         todo = list(fn.body)
         while todo:
             n = todo.pop(0)
-            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                todo = [*n.decorator_list, *todo]
                 continue
             if isinstance(n, ast.Call):
                 name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr if isinstance(n.func, ast.Attribute) else None
@@ -206,6 +285,10 @@ def _python(f: _File, text: str):
     visit(tree.body, None)
 
 
+_DECORATED = ("javascript", "typescript", "java", "csharp")
+_CALL = re.compile(rf"(?:({_ID})[ \t]*(?:::)[ \t]*)?({_ID})[ \t]*\(")
+
+
 def _scan(f: _File, text: str, spec: LanguageSpec):
     masked = _mask(f.language, text)
     pairs = _pairs(masked) if not spec.ends else {}
@@ -223,21 +306,22 @@ def _scan(f: _File, text: str, spec: LanguageSpec):
         if spec.ends:
             begin, stop = m.end(), ruby_end(m.end())
         else:
-            semi, begin = masked.find(";", m.end()), masked.find("{", m.end())
-            if begin < 0 or f.language in ("java", "c", "cpp", "csharp", "php") and -1 < semi < begin:
-                continue
-            stop = pairs.get(begin, len(text))
+            begin, stop = _body(f.language, masked, m.end(m.lastgroup) if m.lastgroup in ("name", "method") else m.end() - 1, pairs)
+            if begin == stop and f.language not in ("java", "csharp", "kotlin", "php", "go"):
+                continue  # only a signature
         found.append((m.start() + len(m[0]) - len(m[0].lstrip()), "function", name, begin, stop, m))
     found.sort(key=lambda x: x[0])
+    bodies = [(at, stop) for at, kind, _, _, stop, _ in found if kind == "function"]
+    firsts = [b[0] for b in bodies]
     classes, last_function = [], -1
     for at, kind, name, begin, stop, m in found:
         if at < last_function:  # inside the body of a function: not visited
             continue
         classes = [c for c in classes if c[1] > at]
         groups = m.groupdict()
-        first, last = f.line(at), f.line(max(at, min(stop, len(text)) - (1 if spec.ends else 0)))
-        decorators = re.findall(r"^[ \t]*(@\w+)", "\n".join(text[:at].split("\n")[-4:-1]), re.M)
-        doc = _comment_above(text, text.rfind("\n", 0, at) + 1)
+        first, last = f.line(at), f.line(max(at, min(stop, len(text)) - (1 if spec.ends or stop > at and text[stop - 1 : stop + 1].endswith("\n") else 0)))
+        doc, decorators = _comment_above(f.lines, first - 1)
+        decorators = decorators if f.language in _DECORATED else []
         if kind == "class":
             if not groups.get("impl"):
                 f.klass(name, first, last, doc, decorators)
@@ -249,11 +333,17 @@ def _scan(f: _File, text: str, spec: LanguageSpec):
             continue
         owner = (groups.get("owner") or "").rstrip(":") or (classes[-1][0] if classes else None)
         src = f.function(owner, name, first, last, doc, decorators)
-        last_function = stop
-        for c in re.finditer(rf"(?:({_ID})[ \t]*(?:::)[ \t]*)?({_ID})[ \t]*\(", masked[begin:stop]):
+        last_function = max(stop, at + 1)
+        # calls in nested functions, and where arrow functions are functions, in those, aren't the outer one's
+        holes = [b for b in bodies[bisect_right(firsts, at) :][: bisect_right(firsts, stop) - bisect_right(firsts, at)]]
+        holes = sorted(holes + (_arrows(masked, begin, stop) if f.language in ("javascript", "typescript") else []))
+        k, end = 0, -1
+        for c in _CALL.finditer(masked, begin, stop):
+            while k < len(holes) and holes[k][0] <= c.start():
+                end, k = max(end, holes[k][1]), k + 1
             called = c[1] if c[1] and f.language == "php" else c[2]
-            if called not in spec.keywords:
-                f.calls.append((src, called, f.line(begin + c.start())))
+            if c.start() >= end and called not in spec.keywords:
+                f.calls.append((src, called, f.line(c.start())))
     for pattern, relation, rule in spec.imports:
         for m in re.finditer("(?m)" + pattern, text):
             if masked[m.start() : m.start() + 3].strip() or text[m.start() : m.start() + 1] in " \t#":

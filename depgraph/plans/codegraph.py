@@ -14,7 +14,7 @@ from depgraph.operators import ingest as ig
 from depgraph.operators import overview as ov
 from depgraph.operators import search as se
 from depgraph.operators import store as st
-from depgraph.plans import lenses
+from depgraph.plans import golden, lenses
 from depgraph.sources import files as fi
 from depgraph.sources.shared import kept
 from depgraph.sources.tables import table
@@ -577,6 +577,30 @@ def extract_edges(spark, d):
     return st.referenced_edges(ig.resolve(ex.extracted_edges(x), nodes), nodes).select("id", "source_id", "target_id", "relation", "confidence")
 
 
+def _values(rows: list[list[str]], columns: str) -> str:
+    line = lambda r: "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")"
+    return f"(VALUES {', '.join(map(line, rows))}) AS v({columns})"
+
+
+def _golden(spark):
+    files = spark.createDataFrame([("r", path, language, text) for language, path, text in golden.SOURCES], "repo_id string, file_path string, language string, content string")
+    return ex.extract_files(files)
+
+
+@query(f"SELECT path, type, name, CAST(first AS INTEGER) AS line_start, CAST(last AS INTEGER) AS line_end, doc, decorators FROM {_values(golden.rows(golden.NODES), 'path, type, name, first, last, doc, decorators')}")
+def extract_golden_nodes(spark, d):
+    """Nodes of small sources in all languages, against rows checked by hand."""
+    n = ex.extracted_nodes(_golden(spark))
+    return n.select(F.col("file_path").alias("path"), "type", "name", "line_start", "line_end", F.coalesce("docstring", F.lit("")).alias("doc"), F.array_join("metadata.decorators", " ").alias("decorators"))
+
+
+@query(f"SELECT source, relation, target, name, confidence, CAST(line AS INTEGER) AS line FROM {_values(golden.rows(golden.EDGES), 'source, relation, target, name, confidence, line')}")
+def extract_golden_edges(spark, d):
+    """Raw edges of small sources in all languages, against rows checked by hand."""
+    e = ex.extracted_edges(_golden(spark))
+    return e.select(F.substring("src", 4, 1 << 20).alias("source"), "relation", F.coalesce(F.substring("tgt", 4, 1 << 20), F.lit("")).alias("target"), F.coalesce("tgt_name", F.lit("")).alias("name"), "confidence", "line")
+
+
 @query()
 def overview_cached(spark, d):
     """The overview of every repository as it is kept."""

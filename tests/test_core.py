@@ -3,6 +3,7 @@
 import json
 import os
 import sqlite3
+import time
 
 import duckdb
 import pytest
@@ -14,7 +15,7 @@ from depgraph.operators import overview as ov
 from depgraph.operators import search as se
 from depgraph.operators.extract import SPECS, extract
 from depgraph.operators.ingest import Store, ingest
-from depgraph.plans import catalogue
+from depgraph.plans import catalogue, golden
 from depgraph.sources import files as fi
 from depgraph.streaming.ingest import stream_files, stream_pushes
 
@@ -107,21 +108,7 @@ def test_exclusion(spark):
     assert out["src/app.min.js"][1] and out["A.PY"][2] == "python" and out["x.unknown"][2] is None and out[None] == (False, False, None)
 
 
-SOURCES = {
-    "python": ("a.py", 'import os.path as p\nfrom lib.x import y\n\nclass A(B):\n    """Doc."""\n    @wraps(x)\n    def m(self):\n        s = "class Z: pass"\n        return helper(1)\n\ndef helper(n):\n    def inner():\n        pass\n    return helper(n - 1)\n'),
-    "javascript": ("a.js", "import { x } from './lib/util';\n/** Does it. */\nexport function helper(a) { return other(a); }\nclass A extends B {\n  m(q) { if (q) { helper(q); } return 'class Z {'; }\n}\n"),
-    "typescript": ("a.ts", "import { x } from '../util';\nfunction helper(a: number): number { return a; }\nexport class A { m(q: string): void { helper(1); } }\n"),
-    "go": ("a.go", "package p\n\n// helper does.\nfunc helper() int { return 1 }\n\ntype A struct {\n\tx int\n}\n\nfunc (a *A) m() int { return helper() }\n"),
-    "java": ("A.java", "import java.util.List;\npublic class A {\n  /* class Z { */\n  @Override\n  public int m(int q) { return helper(q); }\n  static int helper(int q) { return 1; }\n}\n"),
-    "rust": ("a.rs", "use std::io;\nstruct A { x: i32 }\nimpl A { fn m(&self) -> i32 { helper() } }\nfn helper() -> i32 { 1 }\n"),
-    "php": ("a.php", "<?php\nuse App\\Models\\User;\nclass A extends B implements C, D {\n  public function m($q) { return helper($q); }\n}\nfunction helper($q) { return User::find($q); }\n"),
-    "csharp": ("A.cs", "using System.Linq;\nclass A {\n  public int m(int q) { return helper(q); }\n  private int helper(int q) { return 1; }\n}\n"),
-    "kotlin": ("a.kt", "import a.b.C\nclass A {\n  fun m(q: Int): Int { return helper(q) }\n}\nfun helper(q: Int): Int { return 1 }\n"),
-    "scala": ("a.scala", "import a.b.C\nclass A {\n  def m(q: Int): Int = { helper(q) }\n}\nobject O { def helper(q: Int): Int = { 1 } }\n"),
-    "ruby": ("a.rb", "class A < B\n  # Does it.\n  def m(q)\n    if q\n      helper(q)\n    end\n  end\nend\n\ndef helper(q)\n  1\nend\n"),
-    "c": ("a.c", '#include "lib/util.h"\nstruct A { int x; };\nstatic int helper(int q) { return 1; }\nint m(int q)\n{\n  return helper(q);\n}\n'),
-    "cpp": ("a.cpp", "#include <vector>\nclass A { int x; };\nint helper(int q) { return 1; }\nint A::m(int q) { return helper(q); }\n"),
-}
+SOURCES = {language: (path, text) for language, path, text in reversed(golden.SOURCES)}
 
 
 @pytest.mark.parametrize("language", sorted(SOURCES))
@@ -136,6 +123,27 @@ def test_extraction(language):
     assert len({n["id"] for n in nodes}) == len(nodes)
 
 
+@pytest.mark.parametrize("path", [s[1] for s in golden.SOURCES])
+def test_extraction_of_golden_sources(path):
+    language, _, text = next(s for s in golden.SOURCES if s[1] == path)
+    nodes, edges, error = extract("r", path, language, text)
+    assert error is None
+    assert ["|".join([path, n["type"], n["name"], str(n["line_start"]), str(n["line_end"]), n["docstring"] or "", " ".join(n["decorators"])]) for n in nodes] == ["|".join(r) for r in golden.rows(golden.NODES) if r[0] == path]
+    want = [r for r in golden.rows(golden.EDGES) if r[0].split("::")[0] == path]
+    assert [[e["src"][3:], e["relation"], (e["tgt"] or "r::")[3:], e["tgt_name"] or "", e["confidence"], str(e["line"])] for e in edges] == want
+
+
+def test_extraction_takes_time_in_proportion():
+    def took(n):
+        text = "\n".join(f"/** Doc {i}. */\nfunction f{i}(a) {{ return g{i}(a); }}" for i in range(n))
+        began = time.process_time()
+        assert len(extract("r", "b.js", "javascript", text)[0]) == n + 1
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 16 * took(1000) + 0.3
+
+
 def test_extraction_details():
     _, e, _ = extract("r", *("a.php", "php"), SOURCES["php"][1])
     assert {(x["relation"], x["tgt_name"]) for x in e if x["tgt"] is None} == {("imports", "User"), ("inherits", "B"), ("implements", "C"), ("implements", "D"), ("calls", "User")}
