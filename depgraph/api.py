@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depgraph.functions.exprs import weight
 from depgraph.operators import algorithms as al
 from depgraph.operators import graph as gr
 from depgraph.operators import overview as ov
@@ -43,12 +45,20 @@ def _text(name: str, value: str) -> str:
 class Api:
     """repos, nodes and edges are the stored tables, one row per id."""
 
-    def __init__(self, repos: DataFrame, nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None):
+    def __init__(self, repos: DataFrame, nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None, index: se.Index | None = None):
         self.repos, self.nodes, self.edges, self.metrics = repos, nodes, edges, metrics
-        self.index = se.build_index(nodes)
+        self.index = index or se.build_index(nodes)
+
+    @classmethod
+    def of(cls, store: Store) -> Api:
+        """The questions put to a store, with the search index and the metrics that ingests keep."""
+        if store.version() is None:
+            raise ValueError(f"nothing is stored in {store.folder}")
+        edges = store.table("edges").withColumn("weight", weight()).withColumn("seq", F.xxhash64("seq"))
+        return cls(store.table("repos"), store.table("nodes"), edges, store.table("repo_metrics"), se.Index(store.table("postings"), store.table("lengths")))
 
     def _graph(self, repo: str) -> gr.Graph:
-        if self.repos.where(F.col("id") == repo).isEmpty():
+        if st.get_repo(self.repos, repo).isEmpty():
             raise ValueError(f"unknown repository {repo}")
         return gr.load_graph(self.nodes, self.edges, repo)
 
@@ -65,8 +75,11 @@ class Api:
 
     @_tool
     def build(self, store: Store, path: str, force: bool = False):
-        config = load_config(_text("path", path))
-        return ingest(store, scan(store.spark, path, config.name, config.exclude), force)
+        if not os.path.isdir(_text("path", path)):
+            raise ValueError(f"no folder {path}")
+        config = load_config(path)
+        repos = store.spark.createDataFrame([(config.name, config.name, os.path.abspath(path))], "id string, name string, path string")
+        return ingest(store, scan(store.spark, path, config.name, config.exclude), force, repos=repos, metrics=True)
 
     @_tool
     def query(self, repo: str, query: str, node_type: str | None = None, limit: int = 20):

@@ -7,6 +7,7 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from depgraph.api import Api
 from depgraph.operators import algorithms as al
@@ -188,8 +189,6 @@ def test_stream_and_questions(spark, tmp_path):
     run()
     store = Store(spark, str(tmp_path / "store"))
     assert {r["id"] for r in store.table("edges").where("relation = 'calls'").select("id").collect()} == {"repo::a.py::a::calls::repo::b.py::b", "repo::c.py::c::calls::repo::a.py::a"}
-    from pyspark.sql import functions as F
-
     nodes = store.table("nodes").withColumn("ord", F.monotonically_increasing_id())
     edges = store.table("edges").withColumn("seq", F.monotonically_increasing_id()).withColumn("weight", F.lit(1.0))
     repos = spark.createDataFrame([("repo", "Repo", "ready", None)], "id string, name string, status string, last_indexed timestamp")
@@ -213,6 +212,52 @@ def test_pushes_rebuild_their_repositories(spark, tmp_path):
     assert {r["id"] for r in Store(spark, str(tmp_path / "store")).table("nodes").select("id").collect()} == {"r1::a.py", "r1::a.py::a"}
 
 
+def test_signed_pushes(spark):
+    import hashlib
+    import hmac
+
+    from depgraph.streaming.ingest import verified_pushes
+
+    sign = lambda text, key: "sha256=" + hmac.new(key.encode(), text.encode(), hashlib.sha256).hexdigest()
+    body = json.dumps({"repository": {"name": "One"}, "ref": "main"})
+    for key in ("secret", "x" * 100):
+        rows = [("push", sign(body, key), body), ("push", sign(body, "other"), body), ("ping", sign(body, key), body), ("push", sign("no json", key), "no json"), ("push", None, body), (None, None, None)]
+        got = verified_pushes(spark.createDataFrame(rows, "event string, signature string, payload string"), key).collect()
+        assert [(r["repository"], r["ref"]) for r in got] == [("One", "main")]
+
+
+def test_store_keeps_other_repositories(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    mine = lambda repo, d: files(spark, d).withColumn("repo_id", F.lit(repo))
+    assert ingest(store, mine("1", {"a.py": "def a(): pass\n"}))["indexed"] == 1
+    ingest(store, mine("2", {"b.py": "def b():\n    return c()\n\ndef c(): pass\n"}), metrics=True)
+    first = {r["repo_id"]: r["v"] for r in store.manifest().collect()}
+    ingest(store, mine("2", {"b.py": "def b(): pass\n"}))
+    second = {r["repo_id"]: r["v"] for r in store.manifest().collect()}
+    assert set(first) == set(second) == {"1", "2"} and first["1"] == second["1"] and first["2"] != second["2"]
+    assert {r["id"] for r in store.table("nodes").collect()} == {"1::a.py", "1::a.py::a", "2::b.py", "2::b.py::b"}
+    assert {(r["id"], r["status"], r["node_count"]) for r in store.table("repos").collect()} == {("1", "ready", 2), ("2", "ready", 2)}
+    assert [(r["repo_id"], r["metric"]) for r in store.table("repo_metrics").collect()] == [("2", "overview")]
+    want = {tuple(r) for r in se.build_index(store.table("nodes")).postings.select("id", "col", "pos", "term").collect()}
+    assert {tuple(r) for r in store.table("postings").select("id", "col", "pos", "term").collect()} == want
+    ingest(store, mine("2", {"b.py": "def d(): pass\n"}))
+    ingest(store, mine("2", {"b.py": "def e(): pass\n"}))
+    assert len(store.versions()) == 2 and store.table("nodes").where("repo_id = '1'").count() == 2
+    assert ingest(store, mine("2", {}))["indexed"] == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from depgraph.__main__ import main
+
+    (tmp_path / "shop").mkdir()
+    (tmp_path / "shop" / "a.py").write_text("def alpha():\n    return beta()\n\ndef beta(): pass\n")
+    store = ["--store", str(tmp_path / "store")]
+    assert main([*store, "index", str(tmp_path / "shop")], spark) == 0 and main([*store, "search", "shop", "alph"], spark) == 0
+    assert '"name": "alpha"' in capsys.readouterr().out
+    assert main([*store, "overview", "shop"], spark) == 0 and '"node_count": 3' in capsys.readouterr().out
+    assert main([*store, "index", str(tmp_path / "nowhere")], spark) == 1
+
+
 def test_overview_and_report(spark):
     k = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(4) for j in range(4) if i != j]
     g = make(spark, [*k("a"), *k("b"), ("a0", "b0")])
