@@ -26,6 +26,8 @@ class CodeGraph:
     ends: DataFrame
 
 
+#: Changes when what is stored for the same tables does.
+FORMAT = 1
 #: Tables of a stored graph and the column by which each is ranged and sorted, so that files and row groups are skipped by it.
 LAYOUT = {"nodes": "id", "edges": "source_id", "arcs_out": "src", "arcs_in": "dst", "postings": "term", "lengths": "id", "ends": "id"}
 
@@ -70,7 +72,7 @@ def _state(spark: SparkSession, *paths: str) -> str:
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         files = fs.listStatus(path)
         out += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files]
-    return hashlib.md5("\n".join(sorted(out)).encode()).hexdigest()
+    return hashlib.md5("\n".join([f"{FORMAT} {LAYOUT}", *sorted(out)]).encode()).hexdigest()
 
 
 def stored(spark: SparkSession, folder: str) -> CodeGraph:

@@ -19,11 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to a folder of its own, which goes when the session's driver ends, and read again."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage is cut and no executor's loss costs it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, name)[0]
 
 
 def checkpointed(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
@@ -33,10 +41,8 @@ def checkpointed(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     it, until planning takes longer than running; files have their real size. ``replaces``, an earlier result of
     this function that nothing needs any more, is deleted.
     """
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._step_folder = path
+    out, out_folder = _written(df, "step")
+    out._step_folder = out_folder
     if replaces is not None:
         drop(df.sparkSession, getattr(replaces, "_step_folder", None))
     return out
