@@ -237,6 +237,8 @@ def critical_by_repo(graph: Graph, top: int = 20, max_vertices: int = SMALL_GRAP
     chosen = ranked.groupBy("repo_id").agg(F.collect_list("id").alias("pivots"))
     arcs = own.where("small AND src <> dst").select("repo_id", "src", "dst", distance().alias("d")).join(chosen, "repo_id", "left").withColumn("pivots", F.coalesce("pivots", F.array().cast("array<string>")))
     arcs = arcs.withColumns({"blocks": F.lit(blocks), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    # small rows, long work: so many partitions that none is merged with others by its size
+    arcs = arcs.repartition(4 * v.sparkSession.sparkContext.defaultParallelism, "repo_id", "block")
     parts = arcs.groupBy("repo_id", "block").applyInPandas(_by_repo(), "repo_id string, id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
     n = F.col("n").cast("double")
     scale = F.when(n > 2, F.greatest(n / F.lit(float(pivots)), F.lit(1.0)) / ((n - 1) * (n - 2))).otherwise(0.0)
