@@ -452,22 +452,36 @@ def betweenness(spark, d):
     return al.betweenness(lenses.trade(spark, d).stored("trade"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEA}, {TOP_SOURCE.format(k=5)}, steps AS MATERIALIZED (SELECT src, dst, CASE confidence WHEN 'EXTRACTED' THEN 14 WHEN 'INFERRED' THEN 20 WHEN 'AMBIGUOUS' THEN 35 ELSE 28 END AS c FROM arcs),
+p(source, target, best) USING KEY (source, target) AS (SELECT id, id, (0, 0, [id]) FROM start UNION
+  SELECT p.source, s.dst, min((p.best[1] + s.c, p.best[2] + 1, list_append(p.best[3], s.dst))) AS b FROM p JOIN steps s ON s.src = p.target LEFT JOIN recurring.p AS r ON r.source = p.source AND r.target = s.dst
+  WHERE r.source IS NULL OR (p.best[1] + s.c, p.best[2] + 1, list_append(p.best[3], s.dst)) < r.best GROUP BY p.source, s.dst)
+SELECT source, target, best[1]::INTEGER AS cost, best[2]::INTEGER AS length, array_to_string(best[3], '>') AS path FROM p""")
 def shortest_paths_code(spark, d):
-    """Cheapest paths from the five busiest sources over the whole code graph; enumerating them in SQL is too slow."""
+    """Cheapest paths from the five busiest sources over the whole code graph."""
     g = _code(spark, d).graph
     return al.shortest_paths(g, _busiest_source(spark, d, 5)).select("source", "target", "cost", "length", F.array_join("path", ">").alias("path"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEA}, own AS MATERIALIZED (SELECT src, dst, relation, CASE confidence WHEN 'EXTRACTED' THEN 10 WHEN 'INFERRED' THEN 7 WHEN 'AMBIGUOUS' THEN 4 ELSE 5 END AS c, s.repo_id FROM arcs JOIN n s ON s.id = src JOIN n t ON t.id = dst WHERE s.repo_id = t.repo_id),
+p(s, t, cost) USING KEY (s, t) AS (SELECT id, id, 0 FROM n UNION SELECT p.s, o.dst, min(p.cost + o.c) FROM p JOIN own o ON o.src = p.t LEFT JOIN recurring.p AS r ON r.s = p.s AND r.t = o.dst WHERE o.src <> o.dst AND (r.s IS NULL OR p.cost + o.c < r.cost) GROUP BY p.s, o.dst),
+q(s, t, cost, path) AS (SELECT id, id, 0, [id] FROM n UNION ALL SELECT q.s, o.dst, q.cost + o.c, list_append(q.path, o.dst) FROM q JOIN own o ON o.src = q.t JOIN p ON p.s = q.s AND p.t = o.dst WHERE q.cost + o.c = p.cost AND o.src <> o.dst),
+k AS (SELECT s, t, count(*) AS k FROM q WHERE s <> t GROUP BY ALL), v AS (SELECT s, t, unnest(path[2:-2]) AS id FROM q WHERE len(path) > 2),
+h AS (SELECT id, sum(1.0::DOUBLE / k.k) AS x FROM v JOIN k USING (s, t) GROUP BY id), c AS (SELECT repo_id, count(*) AS m FROM n GROUP BY 1),
+di AS (SELECT dst AS id, count(*) AS a FROM own GROUP BY 1), dd AS (SELECT src AS id, count(*) AS a FROM own GROUP BY 1),
+r AS (SELECT n.repo_id, n.id, CASE WHEN m > 2 THEN round(coalesce(x, 0) / ((m - 1) * (m - 2)), 6) ELSE 0.0 END AS score, 'betweenness' AS method, coalesce(di.a, 0) AS in_degree, coalesce(dd.a, 0) AS out_degree FROM n JOIN c USING (repo_id) LEFT JOIN h ON h.id = n.id LEFT JOIN di ON di.id = n.id LEFT JOIN dd ON dd.id = n.id)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, id) <= 20""")
 def critical_nodes(spark, d):
-    """Of every repository, the vertices that matter most, each repository a graph of its own."""
+    """Of every repository, the vertices that matter most, each repository a graph of its own. The SQL holds where no repository has more vertices than there are pivots."""
     return al.critical_by_repo(_code(spark, d).graph).select("repo_id", "id", "score", "method", "in_degree", "out_degree")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEA}, reach(s, t) AS (SELECT src, dst FROM arcs UNION SELECT reach.s, a.dst FROM reach JOIN arcs a ON a.src = reach.t), ring AS MATERIALIZED (SELECT src, dst FROM arcs JOIN reach ON s = dst AND t = src WHERE src <> dst),
+c(first, last, nodes) AS (SELECT src, dst, [src, dst] FROM ring WHERE src < dst UNION ALL SELECT c.first, a.dst, list_append(c.nodes, a.dst) FROM c JOIN ring a ON a.src = c.last WHERE a.dst > c.first AND NOT list_contains(c.nodes, a.dst)),
+closed AS (SELECT DISTINCT nodes FROM c JOIN ring a ON a.src = c.last AND a.dst = c.first)
+SELECT len(nodes)::INTEGER AS length, array_to_string(nodes, '>') AS nodes FROM (SELECT * FROM closed ORDER BY len(nodes), nodes LIMIT 20)""")
 def cycles_code(spark, d):
-    """The twenty shortest cycles of the whole code graph; enumerating simple paths in SQL is too slow."""
+    """The twenty shortest cycles of the whole code graph."""
     return al.cycles(_code(spark, d).graph, 20).select("length", F.array_join("nodes", ">").alias("nodes"))
 
 
@@ -476,9 +490,11 @@ def connected_components(spark, d):
     return al.connected_components(_graph(spark, d, relations=["inherits", "method"]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEA}, b AS MATERIALIZED (SELECT src, dst FROM arcs WHERE src <> dst UNION SELECT dst, src FROM arcs WHERE src <> dst),
+cc(id, component) USING KEY (id) AS (SELECT id, id FROM n UNION SELECT b.dst, min(cc.component) FROM cc JOIN b ON b.src = cc.id JOIN recurring.cc AS r ON r.id = b.dst WHERE cc.component < r.component GROUP BY b.dst)
+SELECT id, component FROM cc""")
 def connected_components_all(spark, d):
-    """Components of the whole graph, over all relations; the recursive SQL above can't follow its giant component."""
+    """Components of the whole graph, over all relations."""
     return al.connected_components(_code(spark, d).graph)
 
 

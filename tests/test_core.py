@@ -283,7 +283,7 @@ def same(v):
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
 
 
-CHECKED = "upsert_nodes repo_stats find_by_file name_index resolve_edges skipped_edges collapse_arcs dependencies_d3 ego_subgraph god_objects_handoff shortest_paths betweenness search_phrase incremental_states p3_found p4_found p4_in_degrees".split()
+CHECKED = sorted(catalogue.SQL)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
