@@ -183,6 +183,19 @@ def resolve_edges(spark, d):
     return st.resolve_edges(_raw_calls(spark, d), st.name_index(_nodes(spark, d))).select("id", "source_id", "target_id", "seq")
 
 
+@query(f"""WITH {N}, k AS (SELECT repo_id, lower(name) AS key, id, ord, TRUE AS whole FROM n UNION ALL SELECT repo_id, lower(list_last(string_split(name, '::'))), id, ord, FALSE FROM n),
+ix AS (SELECT repo_id, key, coalesce(arg_max(id, (ord, id)) FILTER (whole), arg_min(id, (ord, id)) FILTER (NOT whole)) AS id FROM k WHERE key IS NOT NULL AND key <> '' GROUP BY ALL),
+raw AS (SELECT repo_id, source_id AS src, CASE WHEN relation = 'contains' THEN target_id END AS tgt, lower(list_last(string_split(target_id, '::'))) AS key, relation, seq FROM edges),
+hit AS (SELECT raw.src, coalesce(raw.tgt, ix.id) AS tgt, raw.relation, raw.seq FROM raw LEFT JOIN ix USING (repo_id, key) WHERE raw.src IS NOT NULL)
+SELECT src || '::' || relation || '::' || tgt AS id, src AS source_id, tgt AS target_id, max(seq) AS seq FROM hit WHERE tgt IS NOT NULL AND src <> tgt AND relation IS NOT NULL GROUP BY ALL""")
+def resolve_all_edges(spark, d):
+    """Every edge resolved anew by the name of its target; those of containment carry their target's id."""
+    e = table(spark, d, "edges").where("relation IS NOT NULL")
+    tgt = F.when(F.col("relation") == "contains", F.col("target_id"))
+    raw = e.select("repo_id", F.col("source_id").alias("src"), tgt.alias("tgt"), F.element_at(F.split("target_id", "::"), -1).alias("tgt_name"), "relation", "confidence", F.col("source_line").alias("line"), "seq")
+    return st.resolve_edges(raw, st.name_index(_nodes(spark, d))).select("id", "source_id", "target_id", "seq")
+
+
 @query(f"WITH {N} SELECT id, len(metadata.decorators) AS n, array_to_string(metadata.decorators, ',') AS decorators FROM n WHERE len(metadata.decorators) > 0")
 def decorated_nodes(spark, d):
     x = F.col("metadata.decorators")
