@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ class CodeGraph:
     ends: DataFrame
 
 
+_WRITING = threading.Lock()
 #: Changes when what is stored for the same tables does.
 FORMAT = 1
 #: Tables of a stored graph and the column by which each is ranged and sorted, so that files and row groups are skipped by it.
@@ -80,8 +82,9 @@ def stored(spark: SparkSession, folder: str) -> CodeGraph:
     at = f"{shared_folder(spark)}/code-graph-{_state(spark, f'{folder}/nodes.parquet', f'{folder}/edges.parquet')}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_DONE")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(done):
-        drop(spark, at)
-        write(at, spark.read.parquet(f"{folder}/nodes.parquet"), spark.read.parquet(f"{folder}/edges.parquet"))
-        fs.create(done).close()
+    with _WRITING:
+        if not fs.exists(done):
+            drop(spark, at)
+            write(at, spark.read.parquet(f"{folder}/nodes.parquet"), spark.read.parquet(f"{folder}/edges.parquet"))
+            fs.create(done).close()
     return read(spark, at)

@@ -131,3 +131,26 @@ def test_joins_on_hot_keys(spark):
     top = first_per_group(rows, ["k"], ["i"], 4, ["i"]).where("k = 'hot'").orderBy("place").collect()
     assert [(r["place"], r["i"]) for r in top] == [(1, 1), (2, 2), (3, 4), (4, 5)]
     assert hot_keys(rows.where("false"), "k").collect() == []
+
+
+NODES = "id string, repo_id string, type string, name string, file_path string, language string, docstring string, updated_at timestamp, src string, place int"
+EDGES = "id string, repo_id string, source_id string, target_id string, relation string, confidence string, weight double, seq bigint, dst string"
+
+
+def test_stored_graph(spark, tmp_path):
+    from depgraph.operators import graphstore as gs
+    from depgraph.operators import search as se
+
+    node = lambda i, name="n", doc=None: (i, "r", "function", name, "f", "go", doc, None, "x", 1)
+    edge = lambda a, b, seq: (f"{a}::calls::{b}", "r", a, b, "calls", None, None, seq, "x")
+    put = lambda nodes, edges: (spark.createDataFrame(nodes, NODES).write.mode("overwrite").parquet(f"{tmp_path}/nodes.parquet"), spark.createDataFrame(edges, EDGES).write.mode("overwrite").parquet(f"{tmp_path}/edges.parquet"))
+    put([], [])
+    c = gs.stored(spark, str(tmp_path))
+    assert all(df.collect() == [] for df in (c.nodes, c.edges, c.graph.arcs, c.reverse.arcs, c.index.postings, c.ends)) and se.search(c.index, c.nodes, "x").collect() == []
+    put([node("a"), node("a", "again"), node("b", None, "Some words"), node(None)], [edge("a", "b", 1), edge("a", "b", 2), edge("a", None, 3), edge("a", "nowhere", 4), (None, *edge("b", "a", 5)[1:])])
+    c = gs.stored(spark, str(tmp_path))
+    assert c.nodes.count() == 2 and {(r["src"], r["dst"], r["seq"]) for r in c.graph.arcs.collect()} == {("a", "b", 2)} == {(r["src"], r["dst"], r["seq"]) for r in c.reverse.arcs.collect()}
+    assert {(r["id"], r["in_degree"], r["out_degree"]) for r in c.ends.collect()} == {("a", 0, 3), ("b", 1, 0)}
+    assert [r["id"] for r in se.search(c.index, c.nodes, "word").collect()] == ["b"]
+    gone = gs.update_index(c.index, c.nodes.where("id = 'a'"), c.nodes.where("id = 'b'").select("id"))
+    assert {r["id"] for r in gone.lengths.collect()} == {"a"} and se.matches(gone, "word").collect() == []
