@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depgraph.api import Api
 from depgraph.functions.exprs import ACCENTED, PLAIN, node_id, search_tokens, short_name
 from depgraph.operators import algorithms as al
 from depgraph.operators import extract as ex
@@ -630,6 +633,66 @@ def extract_golden_edges(spark, d):
     return e.select(F.substring("src", 4, 1 << 20).alias("source"), "relation", F.coalesce(F.substring("tgt", 4, 1 << 20), F.lit("")).alias("target"), F.coalesce("tgt_name", F.lit("")).alias("name"), "confidence", "line")
 
 
+# -- what clients ask -----------------------------------------------------------------------------------------------------
+_REPO = "corekit"
+#: The graph of one repository, as the client's questions see it.
+_ONE = f"""{NE}, m AS (SELECT * FROM n WHERE repo_id = '{_REPO}'), arcs AS (SELECT source_id AS src, target_id AS dst, relation, confidence, weight, seq FROM
+  (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY seq DESC) AS k FROM e WHERE repo_id = '{_REPO}' AND source_id IS NOT NULL AND target_id IS NOT NULL)
+  WHERE k = 1 AND source_id IN (SELECT id FROM m) AND target_id IN (SELECT id FROM m))"""
+
+
+def _api(spark, d):
+    c = _code(spark, d)
+    return Api(table(spark, d, "repos"), c.nodes, c.edges, None, c.index)
+
+
+def _answer(spark, rows: list[tuple], columns: str):
+    return spark.createDataFrame(rows, columns)
+
+
+def _hub(spark, d) -> str:
+    """The node of the repository that most arcs of it lead to."""
+    g = gr.load_graph(_code(spark, d).nodes, _code(spark, d).edges, _REPO)
+    row = st.top_by(g.arcs, "dst").first()
+    return row[0] if row else "none"
+
+
+@query("SELECT p.id AS repo_id, p.place, r.n_nodes, r.n_edges FROM (SELECT id, row_number() OVER (ORDER BY last_indexed DESC NULLS LAST, id)::BIGINT AS place FROM repos) p JOIN (" + SQL["repo_stats"] + ") r ON r.repo_id = p.id")
+def api_list_repos(spark, d):
+    repos = json.loads(_api(spark, d).list_repos())["repos"]
+    return _answer(spark, [(r["repo_id"], i + 1, r["n_nodes"], r["n_edges"]) for i, r in enumerate(repos)], "repo_id string, place bigint, n_nodes bigint, n_edges bigint")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY rank, id) AS place FROM (" + _search_sql("SELECT id, count(*)::DOUBLE AS f FROM words WHERE starts_with(term, 'reg') GROUP BY 1", 20, within=f"WHERE h.id IN (SELECT id FROM n WHERE repo_id = '{_REPO}')") + ")")
+def api_query(spark, d):
+    """The answer to a search in one repository."""
+    found = json.loads(_api(spark, d).query(_REPO, "reg"))["results"]
+    return _answer(spark, [(r["id"], i + 1) for i, r in enumerate(found)], "id string, place bigint")
+
+
+_HUB = "start AS (SELECT dst AS id FROM arcs GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+def _ask(a: str, b: str, depth: int) -> str:
+    return f"""WITH RECURSIVE {_ONE}, {_HUB}, walk(id, depth) AS (SELECT t.{b}, 1 FROM start s JOIN arcs t ON t.{a} = s.id UNION SELECT t.{b}, w.depth + 1 FROM walk w JOIN arcs t ON t.{a} = w.id WHERE w.depth < {depth})
+    SELECT '{'in' if a == 'dst' else 'out'}' AS direction, id, min(depth)::BIGINT AS depth FROM walk GROUP BY id"""
+
+
+@query(_ask("dst", "src", 3))
+def api_impact(spark, d):
+    """The answer to what a change of the busiest node of one repository may break."""
+    files = json.loads(_api(spark, d).impact(_REPO, _hub(spark, d), 3))["by_file"]
+    return _answer(spark, [("in", r["id"], r["depth"]) for rows in files.values() for r in rows], "direction string, id string, depth bigint")
+
+
+@query(_ask("src", "dst", 2) + " UNION ALL SELECT * FROM (" + _ask("dst", "src", 2) + ")")
+def api_dependencies(spark, d):
+    """The answer to what the busiest node of one repository uses, and what uses it."""
+    out = json.loads(_api(spark, d).dependencies(_REPO, _hub(spark, d), 2, "both"))
+    rows = [(w, r["id"], r["depth"]) for w, k in (("out", "dependencies"), ("in", "dependents")) for r in out[k][k]]
+    return _answer(spark, rows, "direction string, id string, depth bigint")
+
+
 @query()
 def overview_cached(spark, d):
     """The overview of every repository as it is kept."""
