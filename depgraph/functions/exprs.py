@@ -52,5 +52,3 @@ def search_tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "")
 
 
-def name_words(path: Column) -> Column:
-    return F.split(path, "/")

@@ -280,20 +280,22 @@ def communities(graph: Graph, min_size: int = 2, epsilon: float = EPSILON, by: s
     level = 0
     while True:
         state = checkpointed(links.groupBy("u").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("loop")).select("u", "k", "loop", F.col("u").alias("c")))
+        ways = checkpointed(spread_join(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"), state.select(F.col("u").alias("v"), "k"), "v", hubs).select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "k"))
         best_q, best_state, mark, since, r = -2.0, state, -2.0, 0, 0
         while True:
-            sizes = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            to = spread_join(links.where("u <> v"), state.select(F.col("u").alias("v"), F.col("c").alias("d")), "v", hubs).groupBy("u", "d").agg(F.sum("w").alias("w"))
-            stay = state.select("u", F.col("c").alias("d"), F.lit(0.0).alias("w"))
-            options = to.unionByName(stay).groupBy("u", "d").agg(F.sum("w").alias("w")).join(state, "u").join(sizes.withColumnRenamed("c", "d"), "d")
-            here = F.col("d") == F.col("c")
+            sizes = state.groupBy(F.col("c").alias("d")).agg(F.sum("k").alias("tot"))
+            to = spread_join(ways, state.select(F.col("u").alias("v"), F.col("c").alias("d")), "v", hubs).select("u", "d", "w", "k", F.lit(False).alias("here"), F.lit(0.0).alias("loop"))
+            stay = state.select("u", F.col("c").alias("d"), F.lit(0.0).alias("w"), "k", F.lit(True).alias("here"), "loop")
+            options = to.unionByName(stay).groupBy("u", "d").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("here").alias("here"), F.max("loop").alias("loop")).join(sizes, "d")
+            here = F.col("here")
             tot = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
             gain = F.round(F.col("w") - F.col("k") * tot / total, 12 if by else 9)
             # the part of the state's modularity: what the vertex has inside, less what chance would give it there
             part = F.when(here, F.col("w") + F.col("loop") - F.col("k") * F.col("tot") / total)
-            best = options.groupBy("u").agg(F.max(F.struct(gain.alias("gain"), here.alias("here"), F.col("d").alias("d"))).alias("best"), F.max(part).alias("part"))
+            own = F.max(F.when(here, F.struct("d", "k", "loop")))
+            best = options.groupBy("u").agg(F.max(F.struct(gain.alias("gain"), here.alias("here"), F.col("d").alias("d"))).alias("best"), F.max(part).alias("part"), own.alias("own"))
             turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(r)), F.lit(2)) == 0
-            nxt = checkpointed(state.join(best, "u").select("u", "k", "loop", F.when(turn, F.col("best.d")).otherwise(F.col("c")).alias("c"), (F.col("best.d") != F.col("c")).alias("wants"), "part"))
+            nxt = checkpointed(best.select("u", "own.k", "own.loop", F.when(turn, F.col("best.d")).otherwise(F.col("own.d")).alias("c"), (F.col("best.d") != F.col("own.d")).alias("wants"), "part"))
             q, wants = nxt.agg(F.sum("part"), F.count_if("wants")).first()
             q /= total
             mark, since = (q, 0) if q > mark + epsilon else (mark, since + 1)
