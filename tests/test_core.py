@@ -87,6 +87,28 @@ def test_communities_until_nothing_merges(spark):
         assert links / 23 <= 2 * inside(x) * inside(y) / (2 * 23) ** 2 + al.EPSILON  # merging the two gains nothing
 
 
+def test_communities_in_blocks(spark):
+    k = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(6) for j in range(i)]
+    arcs = [*k("a"), *k("b"), *k("c"), *k("d"), ("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3")]
+    g = make(spark, arcs)
+    c = al.communities(g, 1)
+    assert {(r["id"][0], r["community"]) for r in c.collect()} == {(p, f"{p}0") for p in "abcd"}
+    mixed = g.vertices.withColumn("repo_id", F.substring("id", 2, 1)).withColumn("file_path", F.col("id"))  # blocks across the groups
+    c = al.communities(gr.Graph(mixed, g.arcs), 1, block=40)
+    assert c.count() == c.select("id").distinct().count() == 24 and al.modularity(g, c) > 0.5  # 0.69 at best
+    alone = al.communities(gr.Graph(g.vertices.withColumn("repo_id", F.substring("id", 2, 1)), g.arcs), 2, by="repo_id", block=3)
+    assert {(r["id"][1], r["community"][1]) for r in alone.collect()} <= {(i, i) for i in "0123"}
+
+
+def test_communities_take_few_rounds(spark, monkeypatch):
+    steps = []
+    real = al.checkpointed
+    monkeypatch.setattr(al, "checkpointed", lambda df, replaces=None: steps.append(1) or real(df, replaces))
+    g = make(spark, [(f"v{i:03}", f"v{i + 1:03}") for i in range(200)])
+    c = al.communities(g, 1)
+    assert c.count() == 201 and len(steps) <= 8  # each writes files, of whatever size
+
+
 def test_search_ranks_like_fts5(spark):
     rows = [("1", "r", "class", "ParseTree", "src/tree.py", "python", "Walks the tree quickly"), ("2", "r", "function", "walk_tree", "src/walk.py", "python", "tree walk walk"), ("3", "q", "function", "other", "lib/x.go", "go", None), ("4", "r", "function", "Café", "a/b.c", "c", "the tree walks"), ("5", "r", "class", "z", "z", "c", ""), ("6", "r", "class", "q", "q", "c", "tree of the walk")]
     nodes = spark.createDataFrame(rows, NODE)
