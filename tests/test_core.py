@@ -2,10 +2,13 @@
 
 import json
 import os
+import random
 import sqlite3
 import time
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,29 @@ def test_communities_take_few_rounds(spark, monkeypatch):
     assert c.count() == 201 and len(steps) <= 8  # each writes files, of whatever size
 
 
+def test_betweenness_of_all_pivots_together():
+    draw = random.Random(5)
+    for n in (3, 7, 12):
+        arcs = sorted({(a, b) for a, b in ((draw.randrange(n), draw.randrange(n)) for _ in range(4 * n)) if a != b})
+        cost = np.array([draw.choice([4, 5, 7, 10]) for _ in arcs])
+        heads, tails = np.array(arcs).T
+        want = np.zeros(n)
+        for part in al._brandes(n, heads, tails, cost, np.arange(n))(iter([pd.DataFrame({"pivot": range(n)})])):
+            want[part["id"]] = part["part"]
+        start, all_ = np.searchsorted(heads, np.arange(n + 1)), np.arange(n)
+        assert np.allclose(al._through(start, tails, cost, 0 * all_, 0 * all_ + n, all_), want)
+
+
+def test_cycles_by_repo_take_few_rounds(spark, monkeypatch):
+    steps = []
+    real = al.checkpointed
+    monkeypatch.setattr(al, "checkpointed", lambda df, replaces=None: steps.append(1) or real(df, replaces))
+    g = make(spark, [*((f"v{i:02}", f"v{(i + 1) % 30:02}") for i in range(30)), ("v01", "v00"), ("x", "y"), ("y", "z")])
+    found = [(r["place"], r["length"], r["nodes"][0]) for r in al.cycles_by_repo(g).orderBy("place").collect()]
+    assert found == [(1, 2, "v00"), (2, 30, "v00")] and len(steps) <= 3
+    assert al.cycles_by_repo(make(spark, [("a", "b")])).collect() == []
+
+
 def test_search_ranks_like_fts5(spark):
     rows = [("1", "r", "class", "ParseTree", "src/tree.py", "python", "Walks the tree quickly"), ("2", "r", "function", "walk_tree", "src/walk.py", "python", "tree walk walk"), ("3", "q", "function", "other", "lib/x.go", "go", None), ("4", "r", "function", "Café", "a/b.c", "c", "the tree walks"), ("5", "r", "class", "z", "z", "c", ""), ("6", "r", "class", "q", "q", "c", "tree of the walk")]
     nodes = spark.createDataFrame(rows, NODE)
