@@ -154,3 +154,38 @@ def test_stored_graph(spark, tmp_path):
     assert [r["id"] for r in se.search(c.index, c.nodes, "word").collect()] == ["b"]
     gone = gs.update_index(c.index, c.nodes.where("id = 'a'"), c.nodes.where("id = 'b'").select("id"))
     assert {r["id"] for r in gone.lengths.collect()} == {"a"} and se.matches(gone, "word").collect() == []
+
+
+def test_overviews_by_small_plans(spark):
+    plan = catalogue.QUERIES["overview_cached"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12  # the driver holds what all of them broadcast and run at once
+
+
+def test_lists_of_an_overview(spark):
+    from depgraph.operators import graph as gr
+    from depgraph.operators import overview as ov
+
+    node = lambda i, repo, kind="function": (i, repo, kind, i.upper(), f"{repo}.py", "python" if kind == "function" else None)
+    ids = [f"a{i:02}" for i in range(25)]
+    nodes = spark.createDataFrame([*(node(i, "r") for i in ids), node("f", "r", "file"), node("b", "q"), node("n", None)], "id string, repo_id string, type string, name string, file_path string, language string")
+    ends = [*((f"a{i:02}", "a24", "calls") for i in range(9)), *(("a24", f"a{i:02}", "calls") for i in range(10, 19)), ("f", "a09", "contains"), ("a24", "b", "calls"), ("a24", "gone", "calls"), ("a24", None, "calls"), ("a09", "a09", None)]
+    edges = spark.createDataFrame([("r" if a != "f" else None, a, b, r, "EXTRACTED", i) for i, (a, b, r) in enumerate(ends)], "repo_id string, source_id string, target_id string, relation string, confidence string, seq bigint")
+    got = {r["repo_id"]: json.loads(r["value_json"]) for r in ov.overviews(gr.Graph(nodes, gr.collapse(edges)), nodes, edges).collect()}
+    assert set(got) == {"r", "q", None} and [got[None]["stats"]["node_count"], got[None]["entry_points"], got[None]["critical"]] == [1, [], []]
+    r = got["r"]
+    assert r["stats"] == {"node_count": 26, "edge_count": len(ends) - 1, "languages": {"python": 25}, "node_types": {"file": 1, "function": 25}, "relations": {"calls": len(ends) - 2}}
+    assert r["critical"][0] == {"id": "a24", "name": "A24", "type": "function", "score": round(9 * 9 / (25 * 24), 6), "method": "betweenness", "in_degree": 9, "out_degree": 9} and [x["id"] for x in r["critical"][1:]] == [i for i in ids if i != "a24"][:19]
+    assert [x["id"] for x in r["entry_points"]] == [*ids[:9], *ids[19:24]] and r["entry_points"][0] == {"id": "a00", "name": "A00", "type": "function", "file_path": "r.py", "out_degree": 1}
+    assert r["god_objects"] == [{"id": "a24", "name": "A24", "in_degree": 9, "out_degree": 9, "coupling_score": 18, "warning": "A24 is used by 9 and uses 9 others"}]
+    assert r["cycles"] == {"found": False, "count": 0, "cycles": []} and r["communities"] == [{"community": "a00", "size": 19, "label": "A00 / A01 / A02", "files": ["r.py"]}]
+    assert got["q"]["cycles"] == r["cycles"] and [x["id"] for x in got["q"]["entry_points"]] == ["b"] and got["q"]["stats"]["edge_count"] == 0
+
+
+def test_first_rows_are_cut_before_they_travel(spark):
+    from depgraph.operators.skew import first_rows
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(300)] + [(None, -1)], "k string, i int")
+    top = first_rows(rows, ["k"], ["i"], 3)
+    assert sorted((r["k"] or "", r["place"], r["i"]) for r in top.collect()) == [("", 1, -1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 4), ("b", 1, 0), ("b", 2, 3), ("b", 3, 6)]
+    plan = top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "3, Partial" in plan[plan.index("Exchange") :]
